@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sentencepieces
+from . import near_dedup, sentencepieces
 from .common import table
 
 TOKENIZERS = os.environ.get("TALLYLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -20,8 +20,14 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").alias("n_tokens"), "round_trip", "ids")
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+    return found.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
 QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
