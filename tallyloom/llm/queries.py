@@ -7,13 +7,36 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, sentencepieces
-from .common import table
+from . import labelled, near_dedup, quality, sentencepieces, toxicity
+from .common import crc32_mod, table
 
 TOKENIZERS = os.environ.get("TALLYLOOM_TOKENIZERS", "/opt/tokenizers")
 PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rows = labelled.sample(docs, labels, "toxic", crc32_mod("doc_id", 5) != 0, max_rows=8000, max_chars=20_000)
+    classifier = toxicity.train(rows["text"], rows["label"].to_numpy())
+    scored = toxicity.score(docs.select("doc_id", "text"), classifier)
+    return scored.select(
+        "doc_id", (crc32_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality.score(docs.select("doc_id", "text"), quality_network(docs, labels))
+    return scored.select(
+        "doc_id", (crc32_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+def quality_network(docs: DataFrame, labels: DataFrame) -> quality.Network:
+    rows = labelled.sample(docs, labels, "quality", crc32_mod("doc_id", 4) != 2, max_rows=3000, max_chars=6000)
+    return quality.train(rows["text"], rows["label"].to_numpy())
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = sentencepieces.encode(docs, PIECES, verify="round_trip", keep=["doc_id"])
@@ -26,6 +49,8 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op3_quality": op3_quality,
     "op4_sentencepiece": op4_sentencepiece,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }

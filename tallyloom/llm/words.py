@@ -19,7 +19,11 @@ IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)[_LOWER]
+_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
+_BYTE = _CODE[_LOWER]
+# Another reading of a text, for spelling variants: letters, digits and bytes over 127 only.
+IS_LETTER = np.zeros(256, bool)
+IS_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_P), -1, 2**64))
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -44,10 +48,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hashes(
+    data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = IS_WORD, byte_codes: np.ndarray = _BYTE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, 64-bit hash and start of each word of some rows."""
     n = len(data)
-    inside = IS_WORD[data]
+    inside = is_word[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
@@ -59,31 +65,41 @@ def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     power, inverse = _power_tables(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[:n], out=sums[1:])
+    np.cumsum(byte_codes[data] * power[:n], out=sums[1:])
     h = (sums[ends] - sums[starts]) * inverse[starts]
     h = mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
     return rows, h, starts
 
 
-def words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def byte_codes(replaced: dict[int, int]) -> np.ndarray:
+    """Codes under which some bytes (after lower-casing) count as others."""
+    table = _LOWER.copy()
+    for source, target in replaced.items():
+        table[source] = target
+    return _CODE[table]
+
+
+def words(
+    column: pa.Array, is_word: np.ndarray = IS_WORD, codes: np.ndarray = _BYTE
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, row of each word counted from the first, hash of each word)."""
     data, offsets = text_buffers(column)
     for lo, hi in row_slices(offsets, SLICE_BYTES):
         a, b = int(offsets[lo]), int(offsets[hi])
         if b - a <= 2 * SLICE_BYTES or hi - lo > 1:
-            rows, h, _ = _hashes(data[a:b], offsets[lo : hi + 1] - a)
+            rows, h, _ = _hashes(data[a:b], offsets[lo : hi + 1] - a, is_word, codes)
         else:  # one very long text: cut at separators, so that no word is split
             found = []
             while a < b:
                 cut = min(a + SLICE_BYTES, b)
                 while cut < b:
-                    gaps = np.flatnonzero(~IS_WORD[data[a:cut]])
+                    gaps = np.flatnonzero(~is_word[data[a:cut]])
                     if len(gaps):
                         cut = a + int(gaps[-1]) + 1
                         break
                     cut = min(cut + SLICE_BYTES, b)
-                found.append(_hashes(data[a:cut], np.array([0, cut - a]))[1])
+                found.append(_hashes(data[a:cut], np.array([0, cut - a]), is_word, codes)[1])
                 a = cut
             h = np.concatenate(found)
             rows = np.zeros(len(h), np.int64)
