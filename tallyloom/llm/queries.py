@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import labelled, near_dedup, quality, sentencepieces, topk, toxicity
+from . import labelled, near_dedup, packing, quality, sentencepieces, topk, toxicity
 from .common import crc32_mod, table
 
 TOKENIZERS = os.environ.get("TALLYLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -48,6 +48,10 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op9_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), size=8192)
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
     return found.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
@@ -58,6 +62,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_sentencepiece": op4_sentencepiece,
     "op8_exact_top_k": op8_exact_top_k,
+    "op9_token_packing": op9_token_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
