@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import labelled, near_dedup, packing, quality, sentencepieces, topk, toxicity
-from .common import crc32_mod, table
+from . import labelled, mixing, near_dedup, packing, quality, sentencepieces, topk, toxicity, warc
+from .common import crc32_mod, stage, table
 
 TOKENIZERS = os.environ.get("TALLYLOOM_TOKENIZERS", "/opt/tokenizers")
 PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
@@ -43,6 +43,39 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").alias("n_tokens"), "round_trip", "ids")
 
 
+# Domains, and weights of domains and languages in the mix; sources weigh alike.
+MIX = mixing.Mix(
+    levels=["domain", "lang", "source"],
+    weights={("web",): 4.0, ("books",): 3.0, ("forums",): 2.0, ("code",): 1.0}
+    | {(d, lang): w for d in ("web", "books", "forums", "code") for lang, w in (("en", 6.0), ("de", 2.0), ("fr", 1.5), ("es", 1.0))},
+    max_epochs=3,
+    seed=11,
+)
+
+
+def domain(docs: DataFrame) -> DataFrame:
+    """``docs`` with a domain for each source, by its number."""
+    number = F.try_to_number(F.regexp_extract("source", r"(\d{1,9})$", 1), F.lit("999999999")).cast("int") % 4
+    names = F.array(*(F.lit(x) for x in ("web", "books", "forums", "code")))
+    return docs.withColumn("domain", F.get(names, number))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = domain(table(spark, sf_dir, "documents"))
+    return mixing.select(docs, MIX, share=0.6).select("doc_id", "domain", "lang", "source", "copies")
+
+
+# For op7: pages whose id this picks lose their last character in the replica.
+ROTTEN = "crc32(cast(page_id as string)) % 211 = 0"
+
+
+def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rotten = F.expr(f"if({ROTTEN}, concat(substring(html, 1, length(html) - 1), '#'), html)")
+    original, replica = (stage(warc.layout(warc.records(p)), "layout") for p in (pages, pages.withColumn("html", rotten)))
+    return warc.audit(original, replica)
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -61,6 +94,8 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_source_mixing": op5_source_mixing,
+    "op7_warc_fixity": op7_warc_fixity,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_token_packing": op9_token_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
