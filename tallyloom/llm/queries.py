@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import labelled, mixing, near_dedup, packing, quality, sentencepieces, topk, toxicity, warc
+from . import imatch, labelled, mixing, near_dedup, packing, quality, sentencepieces, topk, toxicity, warc
 from .common import crc32_mod, stage, table
 
 TOKENIZERS = os.environ.get("TALLYLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -65,6 +65,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.select(docs, MIX, share=0.6).select("doc_id", "domain", "lang", "source", "copies")
 
 
+def op6_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 # For op7: pages whose id this picks lose their last character in the replica.
 ROTTEN = "crc32(cast(page_id as string)) % 211 = 0"
 
@@ -95,6 +99,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_source_mixing": op5_source_mixing,
+    "op6_imatch_fingerprints": op6_imatch_fingerprints,
     "op7_warc_fixity": op7_warc_fixity,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_token_packing": op9_token_packing,
