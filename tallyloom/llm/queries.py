@@ -7,13 +7,21 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import imatch, labelled, mixing, near_dedup, packing, quality, sentencepieces, topk, toxicity, warc
+from . import imatch, labelled, lines, mixing, near_dedup, packing, quality, sentencepieces, topk, toxicity, warc
 from .common import crc32_mod, stage, table
 
 TOKENIZERS = os.environ.get("TALLYLOOM_TOKENIZERS", "/opt/tokenizers")
 PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("doc").alias("doc_id"), F.col("at").alias("line_no"), F.col("first_doc").alias("first_doc_id"),
+        F.col("first_at").alias("first_line_no"), F.expr("doc <=> first_doc and at = first_at").alias("kept"),
+    )
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rows = labelled.sample(docs, labels, "toxic", crc32_mod("doc_id", 5) != 0, max_rows=8000, max_chars=20_000)
@@ -95,6 +103,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op4_sentencepiece": op4_sentencepiece,
