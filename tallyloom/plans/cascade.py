@@ -17,6 +17,7 @@ from ..functions.features import anchor, form_group, numbers, search_key, varian
 from ..functions.lexicon import candidate
 from ..functions.text import clean_line, is_arabic, key_lower, key_upper, strip
 from ..operators import decide, lookups, semijoins, similar
+from ..staging import stage
 
 
 @dataclass
@@ -43,7 +44,7 @@ def rank(queries: DataFrame, features: DataFrame, config: MatchConfig = MatchCon
     score and then idx: array<struct(order, idx, score, name, code, price, ok)>."""
     spelled = queries.select("candidate", F.explode(variants(F.col("candidate"))).alias("text"))
     top = similar.top_k(spelled.select("text"), features.select(F.col("idx").alias("id"), F.col("search_key").alias("key")), config.candidates)
-    best = spelled.join(top, "text").groupBy("candidate", "id").agg(F.max("score").alias("score"))
+    best = stage(spelled.join(top, "text").groupBy("candidate", "id").agg(F.max("score").alias("score")), "scored")
     asked = queries.select(
         "candidate", numbers(F.col("candidate")).alias("q_numbers"), form_group(F.col("candidate")).alias("q_form"), anchor(F.col("candidate")).alias("q_anchor")
     )
@@ -55,7 +56,7 @@ def rank(queries: DataFrame, features: DataFrame, config: MatchConfig = MatchCon
 
 def match(lines: DataFrame, dims: Dimensions, config: MatchConfig = MatchConfig()) -> DataFrame:
     """``lines`` (text, invoice_price, quantity and any others) with the result columns."""
-    features = lookups.catalog_features(dims.catalog)
+    features = stage(lookups.catalog_features(dims.catalog), "catalog")
     keep = [c for c in lines.columns if c not in ("text", "invoice_price", "quantity")]
     texts = lines.select(strip(F.coalesce("text", F.lit(""))).alias("text")).distinct()
     blank = F.lit(None).cast("string")
@@ -66,21 +67,22 @@ def match(lines: DataFrame, dims: Dimensions, config: MatchConfig = MatchConfig(
         found = texts.join(keyed, key_lower(F.col("text")) == F.col("key"), "left").drop("key")
     if dims.reference_map is not None:
         mapped = lookups.reference_map(dims.reference_map).join(
-            lookups.by_code(dims.catalog).select(F.col("code_key").alias("code"), F.struct("name", F.col("code_key").alias("code"), "price").alias("mapped")), "code"
+            lookups.by_code(features).select(F.col("code_key").alias("code"), F.struct("name", F.col("code_key").alias("code"), "price").alias("mapped")), "code"
         ).select("key", "mapped")
         open_ = found.where("override is null").join(mapped, key_upper(F.col("text")) == F.col("key"), "left").drop("key")
         found = open_.unionByName(found.where("override is not null"), allowMissingColumns=True)
     else:
         found = found.withColumn("mapped", F.lit(None).cast("struct<name:string,code:string,price:double>"))
 
-    rest = candidates(found.where("override is null and mapped is null and text <> ''").select("text"))
+    found = stage(found, "resolved")
+    rest = stage(candidates(found.where("override is null and mapped is null and text <> ''").select("text")), "candidates")
     asked = rest.select("candidate").where("candidate <> ''").distinct()
     pick = F.struct("name", "code", "price")
     named = lookups.by_name(features).select(F.col("name").alias("k"), pick.alias("by_name"))
     keyed = lookups.by_search_key(features).select(F.col("search_key").alias("k"), pick.alias("by_key"))
     exact = asked.join(named, F.col("candidate") == F.col("k"), "left").drop("k")
     exact = exact.join(keyed, search_key(F.col("candidate")) == F.col("k"), "left").drop("k")
-    exact = exact.select("candidate", F.coalesce("by_name", "by_key").alias("exact"))
+    exact = stage(exact.select("candidate", F.coalesce("by_name", "by_key").alias("exact")), "exact")
     ranked = rank(exact.where("exact is null").select("candidate"), features, config)
     scored = exact.join(ranked, "candidate", "left")
 
@@ -114,7 +116,9 @@ def match(lines: DataFrame, dims: Dimensions, config: MatchConfig = MatchConfig(
         (~accepted & F.col("chosen").isNotNull()).alias("rejected_by_guard"),
         F.coalesce("core_text", F.lit("")).alias("debug_core_text"), F.coalesce("candidate", F.lit("")).alias("debug_transliterated"),
     )
-    return flags(out, dims, config)
+    if dims.ignored is None and dims.controlled is None:
+        return flags(out, dims, config)
+    return flags(stage(out, "results"), dims, config)
 
 
 def flags(results: DataFrame, dims: Dimensions, config: MatchConfig = MatchConfig()) -> DataFrame:
@@ -144,7 +148,7 @@ def rematch(edits: DataFrame, catalog: DataFrame, config: MatchConfig = MatchCon
     from ..functions.text import collapse
 
     typed = edits.withColumn("candidate", collapse(F.col("text")))
-    features = lookups.catalog_features(catalog)
+    features = stage(lookups.catalog_features(catalog), "catalog")
     asked = typed.select("candidate").where("candidate <> ''").distinct()
     named = lookups.by_name(features).select(F.col("name").alias("candidate"), F.col("name").alias("by_name"))
     keyed = lookups.by_search_key(features).select(F.col("search_key").alias("k"), F.col("name").alias("by_key"))
