@@ -33,7 +33,6 @@ RATES = (32, 128, 512)
 ENOUGH = 4
 MAX_BROADCAST = 2_000_000
 BUCKETS_LEVEL = 16  # squared: ranges of ids
-EMPTY = F.lit(0).cast("long")
 
 
 def _shift(k: int) -> int:
@@ -104,7 +103,7 @@ def _hashes(codes: Column) -> Column:
 
     def of_rate(k: int) -> Column:
         def hashed(own: Column) -> Column:
-            return F.when(F.size(own) == 0, EMPTY).otherwise(F.xxhash64(own))
+            return F.when(F.size(own) == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(own))
 
         def each(mine: Column) -> Column:
             return F.transform(subsets, lambda j: let(F.filter(mine, lambda c: _subset(c, k) == j), hashed))
@@ -149,7 +148,7 @@ def fingerprints(docs: DataFrame, low: float = 1 / 2000, high: float = 0.05, id:
     rows = beside_next(docs, id, text)
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
-    rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 3) as int))"), F.substring("next", F.lit(1), third)))
+    rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 3) as int))"), F.substring(F.coalesce("next", F.lit("")), F.lit(1), third)))
     flag = lambda text, bit: F.transform(term_codes(F.col(text)), lambda c: F.shiftleft(c, 2).bitwiseOR(F.lit(bit).cast("long")))
     rows = rows.select(
         "bucket", "n", "ghost", "id", n.cast("long").alias("n_chars"), F.unhex(F.sha2("text", 256)).alias("sha"),

@@ -207,7 +207,8 @@ def encode(
     keep = docs.columns if keep is None else keep
     source = docs.select(*keep, docs[text].alias("__text"))
     fields = [docs.schema[c] for c in keep] + [T.StructField(ids, T.ArrayType(T.IntegerType()))]
-    fields += [T.StructField(verify, T.BooleanType())] * bool(verify)
+    if verify:
+        fields.append(T.StructField(verify, T.BooleanType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model, dummy_prefix)

@@ -72,8 +72,8 @@ def read(spark, path: str) -> DataFrame:
     rows = rows.select("warc_file", head.alias("head"), body.alias("rest"))
     rows = rows.withColumn("html", F.expr(f"if(endswith(rest, '\\r\\n\\r\\n'), substring(rest, 1, length(rest) - {len(END)}), rest)"))
     return rows.select(
-        "warc_file", F.regexp_extract(field("WARC-Record-ID"), "<urn:record:(.*)>", 1).cast("long").alias("record_id"),
-        field("WARC-Target-URI").alias("url"), "html", (F.octet_length("html") == field("Content-Length").cast("long")).alias("complete"),
+        "warc_file", F.regexp_extract(field("WARC-Record-ID"), "<urn:record:(.*)>", 1).try_cast("long").alias("record_id"),
+        field("WARC-Target-URI").alias("url"), "html", (F.octet_length("html") == field("Content-Length").try_cast("long")).alias("complete"),
     )
 
 
