@@ -14,7 +14,7 @@ def spark(tmp_path_factory):
     from tallyloom.deploy import ship
 
     session = (
-        SparkSession.builder.master("local[4]").appName("tallyloom-tests").config("spark.sql.shuffle.partitions", "4")
+        SparkSession.builder.master("local[2]").appName("tallyloom-tests").config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "4g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints"))).getOrCreate()
