@@ -156,6 +156,7 @@ def train(texts: pa.Array, labels: np.ndarray, epochs: int = 14, batch: int = 32
 
 def score(docs: DataFrame, net: Network, text: str = "text", score: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1."""
+    docs = docs.select(*(f"`{c}`" for c in docs.columns if c != score))  # an older score gives way
     shared = docs.sparkSession.sparkContext.broadcast(net)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

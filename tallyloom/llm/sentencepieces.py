@@ -204,7 +204,7 @@ def encode(
 ) -> DataFrame:
     """``docs`` with the column ``ids`` (array of int) and, if ``verify`` names a column,
     whether decoding gave the text back. ``keep`` lists the columns to carry (all)."""
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (ids, verify)]  # new columns replace old ones
     source = docs.select(*keep, docs[text].alias("__text"))
     fields = [docs.schema[c] for c in keep] + [T.StructField(ids, T.ArrayType(T.IntegerType()))]
     if verify:
@@ -236,6 +236,7 @@ def encode(
 
 def decode(table: DataFrame, model: str, ids: str = "ids", text: str = "decoded", dummy_prefix: bool = True) -> DataFrame:
     """``table`` with the texts of ``ids`` in the column ``text``; null ids give null."""
+    table = table.select(*(f"`{c}`" for c in table.columns if c != text))
     schema = T.StructType([*table.schema.fields, T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

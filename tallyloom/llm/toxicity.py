@@ -284,6 +284,7 @@ def train(texts: pa.Array, labels: np.ndarray, rounds: int = 150, ridge: float =
 
 def score(docs: DataFrame, classifier: Classifier, text: str = "text", score: str = "score") -> DataFrame:
     """``docs`` with the probability of being toxic."""
+    docs = docs.select(*(f"`{c}`" for c in docs.columns if c != score))  # an older score gives way
     shared = docs.sparkSession.sparkContext.broadcast(classifier)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
