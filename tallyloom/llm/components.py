@@ -1,44 +1,68 @@
-"""Distributed union-find: connected components of an edge table by alternating stars."""
+"""Distributed union-find: connected components of an edge table by hooking and pointer jumping."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage, unstage
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """``edges`` (a, b: long) to (node, component), component being the smallest node reachable.
 
-    Each round links every node's larger neighbours to its smallest one (large star), then
-    its smaller neighbours to the smallest (small star), till nothing changes: a logarithmic
-    number of rounds, each a shuffle of at most the edges that are left. A node with very
-    many neighbours costs its two partial minima, never a list. Nodes without an edge are
-    not returned.
+    Every node points to a parent (its label), at first to its smallest neighbour or itself. In
+    a round a node hooks onto the smallest parent of its neighbours and then jumps to that
+    parent's parent (path halving), till nothing changes: a few rounds for stars, about a
+    logarithmic number for paths. Labels and edges are staged tables, so
+    each join has two plain inputs and Spark may split a hub's rows; minima are combined
+    before they move, so no list of neighbours is ever held. Nodes without an edge are not
+    returned.
     """
-    current = stage(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
-        "edges",
-    )
-    before = None
+    both = edges.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+    both = stage(both.select("e.*").distinct(), "edges")
+    least = both.groupBy("a").agg(F.min("b").alias("m"))
+    labels = stage(least.select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     for _ in range(max_rounds):
-        # Minima are staged, so each join has two plain inputs and Spark may split a hub's rows.
-        both = current.union(current.select("b", "a"))
-        least = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "least")
-        large = stage(current.join(least, F.col("b") == F.col("u")).select("a", F.col("m").alias("b")).distinct(), "large")
-        unstage(current)
-        least2 = stage(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u"), "least")
-        pair = [F.struct(F.col(c).alias("a"), F.col("m").alias("b")) for c in ("a", "b")]
-        small = large.join(least2, F.col("a") == F.col("u")).select(F.explode(F.array(*pair)).alias("e")).select("e.*")
-        current = stage(small.where("a <> b").distinct(), "edges")
-        for done in (least, large, least2):
+        heard = both.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "label")
+        taken = stage(heard.union(labels).groupBy("node").agg(F.min("label").alias("label")), "labels")
+        roots = taken.select(F.col("node").alias("root"), F.col("label").alias("further"))
+        changed = F.coalesce("further", "label")
+        jumped = taken.join(roots, F.col("label") == F.col("root"), "left").select("node", changed.alias("label"))
+        following = stage(jumped, "labels")
+        moved = _sum(labels) != _sum(following)
+        for done in (labels, taken):
             unstage(done)
-        now = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components: no fixed point after {max_rounds} rounds")
-    roots = current.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
-    return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+        labels = following
+        if not moved:
+            unstage(both)
+            return labels.withColumnRenamed("label", "component")
+    raise RuntimeError(f"components: no fixed point after {max_rounds} rounds")
+
+
+def _sum(labels: DataFrame):
+    """Labels only fall, so an equal sum means equal labels."""
+    return labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+
+
+def spanning(hits: DataFrame, joined: DataFrame, bucket: str, node: str) -> DataFrame:
+    """Rows of ``hits`` in buckets that hold more than one component, with ``component`` and ``size``."""
+    whole = Window.partitionBy(bucket)
+    rows = hits.join(joined.withColumnRenamed("node", "__node"), F.col(node) == F.col("__node"), "left").drop("__node")
+    rows = rows.withColumn("component", F.coalesce("component", node))
+    spans = [F.min("component").over(whole).alias("__lo"), F.max("component").over(whole).alias("__hi"), F.count("*").over(whole).alias("size")]
+    return rows.select("*", *spans).where("__lo < __hi").drop("__lo", "__hi")
+
+
+def salted_stars(rows: DataFrame, bucket: str, node: str, centres: int = 6) -> DataFrame:
+    """Pairs (a, b) of each row with ``centres`` arbitrary rows of its bucket, across components.
+
+    Where a bucket's smallest and largest members were far from the rest, these are not:
+    one round merges nearly all that is left, at a cost in proportion to the rows.
+    """
+    whole = Window.partitionBy(bucket)
+    picks = [F.min(F.struct(F.xxhash64(node, F.lit(k)), node, "component")).over(whole) for k in range(centres)]
+    found = rows.select(node, "component", F.array(*picks).alias("picks"))
+    found = found.select(node, "component", F.explode(F.array_distinct(F.transform("picks", lambda p: F.struct(p[node].alias("n"), p["component"].alias("c"))))).alias("p"))
+    found = found.where(F.col("component") != F.col("p.c"))
+    return found.select(F.least(node, "p.n").alias("a"), F.greatest(node, "p.n").alias("b")).distinct()

@@ -8,9 +8,14 @@ most MAX_DISTANCE positions, some chunk has at most one error (the pigeonhole pr
 common key. At similarity 0.8 a pair is beyond MAX_DISTANCE with probability 6e-5, at
 0.85 with 1e-8. Candidates within it are confirmed on the full sets.
 
+Beside its signature a set has a parity sketch: each shingle flips one of PARITY_BITS bits.
+Two sketches differ in no more bits than the sets differ in shingles, so pairs whose
+sketches differ by more than the similarity allows are dropped without any loss.
+
 Groups of many near copies cost no pairs within the group: each bucket is first linked to
 its smallest and largest class; only buckets that still span components are joined, and
-only across components, which loses no link between components. Buckets over HOT_BUCKET
+only across components, which loses no link between components. The join's condition has to
+stay small: beyond 8,000 bytes of generated code the JVM would interpret it. Buckets over HOT_BUCKET
 are refined by a second key from the other chunks, with up to two errors: complete by the
 same principle.
 
@@ -30,15 +35,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import row_slices, stage, text_buffers, unstage
-from .components import components
+from .components import components, salted_stars, spanning
 from .words import SLICE_BYTES, mix, shingles, words
 
-POSITIONS, CHUNK, SYMBOL_BITS, PER_LONG = 70, 5, 8, 7
-CHUNKS = POSITIONS // CHUNK
+POSITIONS, CHUNK, SYMBOL_BITS = 70, 5, 8
+CHUNKS = POSITIONS // CHUNK  # each in a long
 MAX_DISTANCE = 2 * CHUNKS - 1
-LONGS = POSITIONS // PER_LONG
-HOT_BUCKET = 1000
-SIGNATURE = [f"s{i}" for i in range(LONGS)]
+HOT_BUCKET = 20_000
+SIGNATURE = [f"s{i}" for i in range(CHUNKS)]
+PARITY_BITS = 1024
+PARITY = [f"p{i}" for i in range(PARITY_BITS // 64)]
 
 _rng = np.random.default_rng(7)
 _XOR = _rng.integers(0, 2**63, POSITIONS, dtype=np.uint64)
@@ -58,17 +64,24 @@ def _signature(row: np.ndarray, value: np.ndarray, n_rows: int) -> tuple[np.ndar
 
 
 def _pack(symbols: np.ndarray) -> np.ndarray:
-    shifts = np.arange(PER_LONG, dtype=np.uint64) * np.uint64(SYMBOL_BITS)
-    return (symbols.reshape(len(symbols), LONGS, PER_LONG) << shifts).sum(axis=2, dtype=np.uint64).astype(np.int64)
+    shifts = np.arange(CHUNK, dtype=np.uint64) * np.uint64(SYMBOL_BITS)
+    return (symbols.reshape(len(symbols), CHUNKS, CHUNK) << shifts).sum(axis=2, dtype=np.uint64).astype(np.int64)
 
 
 def _unpack(longs: np.ndarray) -> np.ndarray:
-    shifts = np.arange(PER_LONG, dtype=np.int64) * SYMBOL_BITS
+    shifts = np.arange(CHUNK, dtype=np.int64) * SYMBOL_BITS
     return ((longs[:, :, None] >> shifts) & ((1 << SYMBOL_BITS) - 1)).reshape(len(longs), POSITIONS)
 
 
+def _parity(row: np.ndarray, value: np.ndarray, n_rows: int) -> np.ndarray:
+    """Rows x longs: which bits the shingles of a set flip an odd number of times."""
+    bit = (value >> np.uint64(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64)
+    odd = np.bincount(row * PARITY_BITS + bit, minlength=n_rows * PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n_rows, PARITY_BITS), axis=1).view(np.int64)
+
+
 def sets(docs: DataFrame, size: int, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n, a, b, signature): size, two hashes and signature of each row's shingle set."""
+    """(id, n, a, b, signature, parity): size, two hashes and sketches of each row's shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,15 +93,15 @@ def sets(docs: DataFrame, size: int, id: str = "doc_id", text: str = "text") ->
                 for salt in (0x51, 0xA7):
                     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value ^ np.uint64(salt)))])
                     sums.append((total[ends] - total[ends - counts]).view(np.int64))
-                packed = _pack(symbols)
+                sketch = np.concatenate([_pack(symbols), _parity(row, value, hi - lo)], axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("__id").slice(lo, hi - lo), pa.array(counts.astype(np.int64)), *map(pa.array, sums)]
-                    + [pa.array(np.ascontiguousarray(packed[:, i])) for i in range(LONGS)],
-                    names=["id", "n", "a", "b", *SIGNATURE],
+                    + [pa.array(np.ascontiguousarray(column)) for column in sketch.T],
+                    names=["id", "n", "a", "b", *SIGNATURE, *PARITY],
                 )
 
     source = docs.select(F.col(id).cast("long").alias("__id"), F.col(text).alias("__text"))
-    return source.mapInArrow(run, "id long, n long, a long, b long, " + ", ".join(f"{s} long" for s in SIGNATURE))
+    return source.mapInArrow(run, "id long, n long, a long, b long, " + ", ".join(f"{s} long" for s in SIGNATURE + PARITY))
 
 
 def _keys(symbols: np.ndarray) -> np.ndarray:
@@ -144,19 +157,25 @@ def _refined(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, " + ", ".join(f"{f} long" for f in fields))
 
 
-def _distance(left: str, right: str) -> Column:
-    """Positions in which two packed signatures differ."""
-    low, high = F.lit(0x007F7F7F7F7F7F7F), F.lit(0x0080808080808080)
-    total = F.lit(0)
-    for s in SIGNATURE:
-        d = F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))
-        total = total + F.bit_count((d.bitwiseAND(low) + low).bitwiseOR(d).bitwiseAND(high))
-    return total
+def _differing(left: str, right: str, c: int) -> Column:
+    """A bit (the highest of its byte) for each symbol in which chunk ``c`` differs."""
+    low, high = F.lit(0x7F7F7F7F7F), F.lit(0x8080808080)
+    d = F.col(f"{left}.s{c}").bitwiseXOR(F.col(f"{right}.s{c}"))
+    return (d.bitwiseAND(low) + low).bitwiseOR(d).bitwiseAND(high)
 
 
 def _close(left: str, right: str, percent: int) -> Column:
+    """No pair that reaches the similarity fails the conditions on sizes and parities."""
     n, m = F.col(f"{left}.n"), F.col(f"{right}.n")
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (_distance(left, right) <= MAX_DISTANCE)
+    flipped = distance = F.lit(0)
+    for p in PARITY:
+        flipped = flipped + F.bit_count(F.col(f"{left}.{p}").bitwiseXOR(F.col(f"{right}.{p}")))
+    for c in range(CHUNKS):
+        distance = distance + F.bit_count(_differing(left, right, c))
+    return (
+        (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
+        & (flipped * (100 + percent) <= (n + m) * (100 - percent)) & (distance <= MAX_DISTANCE)
+    )
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id: str, text: str) -> DataFrame:
@@ -198,11 +217,11 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, n_shingles, component_id) of every row of ``docs``."""
     every = stage(sets(docs, shingle_words, id, text), "sets")
-    first = [F.first(s).alias(s) for s in SIGNATURE]
+    first = [F.first(s).alias(s) for s in SIGNATURE + PARITY]
     classes = stage(
         every.where("n > 0 and id is not null").groupBy("n", "a", "b").agg(F.min("id").alias("rep"), *first), "classes"
     )
-    signed = classes.select("rep", "n", *SIGNATURE)
+    signed = classes.select("rep", "n", *SIGNATURE, *PARITY)
     whole = Window.partitionBy("key")
     hits = bucket_keys(signed).select("key", "rep", F.min("rep").over(whole).alias("lo"), F.max("rep").over(whole).alias("hi"))
     hits = stage(hits.where("lo < hi"), "hits")
@@ -210,38 +229,48 @@ def near_duplicates(
     ends = F.explode(F.array("lo", "hi"))
     stars = hits.select("rep", ends.alias("end")).where("rep <> end")
     stars = stars.select(F.least("rep", "end").alias("a"), F.greatest("rep", "end").alias("b")).distinct()
-    stars = stars.join(signed.alias("p"), F.col("a") == F.col("p.rep")).join(signed.alias("q"), F.col("b") == F.col("q.rep"))
-    stars = stage(stars.where(_close("p", "q", percent)).select("a", "b"), "stars")
+    stars = stage(_close_pairs(stars, signed, percent), "stars")
     links = stage(confirm(stars, docs, shingle_words, percent, id, text), "links")
     joined = stage(components(links), "components")
 
-    member = hits.select("key", "rep").join(joined, F.col("rep") == F.col("node"), "left")
-    member = member.select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    spans = [F.min("component").over(whole).alias("lo"), F.max("component").over(whole).alias("hi"), F.count("*").over(whole).alias("size")]
-    member = member.select("*", *spans).where("lo < hi").drop("lo", "hi")
-    member = stage(member.join(signed, "rep").select("key", "rep", "component", "size", "n", *SIGNATURE), "open")
-    hot = member.where(F.col("size") > HOT_BUCKET).drop("size")
-    side = member.where(F.col("size") <= HOT_BUCKET).drop("size")
-    if hot.limit(1).count():
-        side = stage(side.unionByName(_refined(hot)), "refined")
-    across = (
-        side.alias("p").join(side.alias("q"), F.expr("p.key = q.key and p.rep < q.rep and p.component <> q.component") & _close("p", "q", percent))
-        .select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct()
-    )
-    across = stage(across.join(stars, ["a", "b"], "left_anti"), "across")
-    more = confirm(across, docs, shingle_words, percent, id, text)
-    final = stage(components(stage(links.union(more), "links")), "components")
-
-    named = classes.select("n", "a", "b", "rep").join(final, F.col("rep") == F.col("node"), "left")
+    member = stage(spanning(hits.select("key", "rep"), joined, "key", "rep"), "open")
+    if not member.isEmpty():
+        more = _close_pairs(salted_stars(member, "key", "rep"), signed, percent).join(stars, ["a", "b"], "left_anti")
+        links = stage(links.union(confirm(stage(more, "stars"), docs, shingle_words, percent, id, text)), "links")
+        joined = stage(components(links), "components")
+        across = stage(_across(spanning(hits.select("key", "rep"), joined, "key", "rep").join(signed, "rep"), percent), "across")
+        if not across.isEmpty():
+            links = stage(links.union(confirm(across, docs, shingle_words, percent, id, text)), "links")
+            joined = stage(components(links), "components")
+
+    named = classes.select("n", "a", "b", "rep").join(joined, F.col("rep") == F.col("node"), "left")
     named = stage(named.select("n", "a", "b", F.coalesce("component", "rep").alias("component")), "named")
-    for done in (hits, member):
-        unstage(done)
+    unstage(hits)
     out = every.alias("e").join(named.alias("c"), F.expr("e.n = c.n and e.a = c.a and e.b = c.b and e.id is not null"), "left")
     return out.select(
         F.col("e.id").alias(id), F.col("e.n").alias("n_shingles"), F.coalesce("c.component", "e.id").alias("component_id")
     )
 
 
+def _across(member: DataFrame, percent: int) -> DataFrame:
+    """Close pairs (a, b) of a bucket's rows that are of different components, each once."""
+    member = stage(member, "open")
+    hot = member.where(F.col("size") > HOT_BUCKET).drop("size")
+    side = member.where(F.col("size") <= HOT_BUCKET).drop("size")
+    apart = F.expr("p.key = q.key and p.rep < q.rep and p.component <> q.component") & _close("p", "q", percent)
+    pair = [F.col("p.rep").alias("a"), F.col("q.rep").alias("b")]
+    across = side.alias("p").join(side.alias("q"), apart).select(*pair)
+    if not hot.isEmpty():
+        finer = stage(_refined(hot), "refined")
+        across = across.union(finer.alias("p").join(finer.alias("q"), apart).select(*pair))
+    return across.distinct()
+
+
+def _close_pairs(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    both = pairs.join(signed.alias("p"), F.col("a") == F.col("p.rep")).join(signed.alias("q"), F.col("b") == F.col("q.rep"))
+    return both.where(_close("p", "q", percent)).select("a", "b")
+
+
 def keep_one(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows whose component has a smaller id; one row of each id stays."""
     found = near_duplicates(docs, shingle_words, percent, id, text)
