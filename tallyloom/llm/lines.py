@@ -1,9 +1,12 @@
 """Line dedup: fuzzy lines by MinHash, in DataFrame functions only.
 
-A line's character shingles begin at each word (at every sixteenth character of longer
-ones): the word and up to eight characters of what follows, lower-cased. They overlap and
-cover the line. BANDS bands of ROWS minima find lines of similarity 0.8 with probability
-0.9992, more similar ones surely; candidates are confirmed by the exact Jaccard similarity
+``shingle`` says what a line's shingles are, lower-cased. EVERY_CHARACTER, which the queries
+take: its runs of five characters, one at every character (a line of fewer characters is its
+own shingle). SHINGLE, the default, is a stride: one begins at each word (at every sixteenth
+character of longer ones), the word and up to eight characters of what follows; it is cheaper,
+but one letter in a short line alters too many of them.
+
+BANDS bands of ROWS minima find lines of similarity 0.8 with probability 0.9992, more similar ones surely; candidates are confirmed by the exact Jaccard similarity
 of their shingle sets. Distributed union-find makes components, each of which keeps the
 first of its lines by (document, line number).
 
@@ -35,10 +38,11 @@ MINIMA = [f"m{k}" for k in range(BANDS * ROWS)]
 BITMAP = [f"b{k}" for k in range(4)]  # of 64 bits each
 BITMAP_BITS = 20
 SHINGLE = r"(?=(\S{1,16}\s*\S{0,8}))\S{1,16}"
+EVERY_CHARACTER = r"(?s)(?=(.{5}|\A.{1,4}\z))."
 
 
-def shingles(line: Column) -> Column:
-    return F.regexp_extract_all(F.lower(line), F.lit(SHINGLE), F.lit(1))
+def shingles(line: Column, shingle: str = SHINGLE) -> Column:
+    return F.regexp_extract_all(F.lower(line), F.lit(shingle), F.lit(1))
 
 
 def occurrences(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -47,12 +51,12 @@ def occurrences(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     return rows.where(F.col("line").rlike(r"\S")).withColumn("key", F.xxhash64("line"))
 
 
-def signatures(lines: DataFrame) -> DataFrame:
+def signatures(lines: DataFrame, shingle: str = SHINGLE) -> DataFrame:
     """(key, n, minima, bitmap) of each distinct line; n counts its shingles with repetitions.
 
     All of it is idempotent: a line that occurs again changes nothing.
     """
-    each = lines.select("key", shingles(F.col("line")).alias("all"))
+    each = lines.select("key", shingles(F.col("line"), shingle).alias("all"))
     each = each.select("key", F.size("all").alias("n"), F.explode("all").alias("s"))
     hashed = each.select("key", "n", F.xxhash64("s").alias("h0"))
     hashed = hashed.select("*", *(F.xxhash64("h0", F.lit(k)).alias(f"h{k}") for k in range(1, -(-len(MINIMA) // WINDOWS))))
@@ -70,18 +74,19 @@ def _bands() -> Column:
     return F.array(*(F.xxhash64(F.lit(b), *MINIMA[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)))
 
 
-def confirm(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, lines: DataFrame, percent: int, shingle: str = SHINGLE) -> DataFrame:
     """The pairs (a, b) whose shingle sets reach the similarity."""
     needed = stage(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "needed")
     bit = F.col("key").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1).cast("long"))
     bitmap = F.broadcast(needed.select(bit.alias("bit")).distinct())
     near = lines.select("key", "line").join(bitmap, bit == F.col("bit"), "left_semi").join(needed, "key", "left_semi")
-    codes = F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s)))
-    sets = stage(near.groupBy("key").agg(F.min("line").alias("line")).select("key", codes.alias("s")), "sets")
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("x")), "a")
-    both = both.join(sets.select(F.col("key").alias("b"), F.col("s").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    texts = stage(near.groupBy("key").agg(F.min("line").alias("line")), "texts")
+    # What moves is the text, which is smaller than the codes of its shingles.
+    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("x")), "a")
+    both = both.join(texts.select(F.col("key").alias("b"), F.col("line").alias("y")), "b")
+    codes = lambda line: F.array_distinct(F.transform(shingles(F.col(line), shingle), lambda s: F.xxhash64(s)))
+    needs = lambda p: (100 + percent) * F.size(F.array_intersect(p["x"], p["y"])) >= percent * (F.size(p["x"]) + F.size(p["y"]))
+    return both.where(F.exists(F.array(F.struct(codes("x").alias("x"), codes("y").alias("y"))), needs)).select("a", "b")
 
 
 def _close(left: str, right: str, percent: int) -> Column:
@@ -101,9 +106,9 @@ def _first_band(left: str, right: str) -> Column:
     return F.coalesce(*found)
 
 
-def near_lines(lines: DataFrame, percent: int = 80) -> DataFrame:
+def near_lines(lines: DataFrame, percent: int = 80, shingle: str = SHINGLE) -> DataFrame:
     """(node, component) of the distinct lines that have a near line; component is a line's hash."""
-    signed = stage(signatures(lines), "signatures")
+    signed = stage(signatures(lines, shingle), "signatures")
     whole = Window.partitionBy("band")
     hits = signed.select("key", F.posexplode(_bands()).alias("place", "band"))
     hits = hits.select("band", "place", "key", F.min("key").over(whole).alias("lo"), F.max("key").over(whole).alias("hi"))
@@ -111,14 +116,14 @@ def near_lines(lines: DataFrame, percent: int = 80) -> DataFrame:
     stars = hits.select("key", F.explode(F.array("lo", "hi")).alias("end")).where("key <> end")
     stars = stars.select(F.least("key", "end").alias("a"), F.greatest("key", "end").alias("b")).distinct()
     stars = stage(_close_pairs(stars, signed, percent), "stars")
-    links = stage(confirm(stars, lines, percent), "links")
+    links = stage(confirm(stars, lines, percent, shingle), "links")
     joined = stage(components(links), "components")
 
     member = stage(spanning(hits.select("band", "place", "key"), joined, "band", "key"), "open")
     if member.isEmpty():
         return joined
     more = _close_pairs(salted_stars(member, "band", "key"), signed, percent).join(stars, ["a", "b"], "left_anti")
-    links = stage(links.union(confirm(stage(more, "stars"), lines, percent)), "links")
+    links = stage(links.union(confirm(stage(more, "stars"), lines, percent, shingle)), "links")
     joined = stage(components(links), "components")
 
     member = spanning(hits.select("band", "place", "key"), joined, "band", "key").join(signed, "key")
@@ -128,7 +133,7 @@ def near_lines(lines: DataFrame, percent: int = 80) -> DataFrame:
     across = stage(across.select(F.col("p.key").alias("a"), F.col("q.key").alias("b")).distinct(), "across")
     if across.isEmpty():
         return joined
-    return stage(components(stage(links.union(confirm(across, lines, percent)), "links")), "components")
+    return stage(components(stage(links.union(confirm(across, lines, percent, shingle)), "links")), "components")
 
 
 def _close_pairs(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
@@ -136,10 +141,10 @@ def _close_pairs(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame
     return both.where(_close("p", "q", percent)).select("a", "b")
 
 
-def repeats(docs: DataFrame, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, percent: int = 80, id: str = "doc_id", text: str = "text", shingle: str = SHINGLE) -> DataFrame:
     """(doc, at, first_doc, first_at): each line that is not blank, and the first of its component."""
     lines = occurrences(docs, id, text)
-    joined = near_lines(lines, percent)
+    joined = near_lines(lines, percent, shingle)
     place = F.struct("doc", "at")
     lines = stage(lines.select("doc", "at", "key"), "lines")
     firsts = lines.groupBy("key").agg(F.min(place).alias("first"))
@@ -153,9 +158,9 @@ def repeats(docs: DataFrame, percent: int = 80, id: str = "doc_id", text: str =
     return placed.select("doc", "at", F.col("head.doc").alias("first_doc"), F.col("head.at").alias("first_at"))
 
 
-def drop_repeats(docs: DataFrame, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_repeats(docs: DataFrame, percent: int = 80, id: str = "doc_id", text: str = "text", shingle: str = SHINGLE) -> DataFrame:
     """``docs`` with texts of the lines that stay. A document all of whose lines go is dropped."""
-    gone = repeats(docs, percent, id, text).where("not (doc <=> first_doc and at = first_at)")
+    gone = repeats(docs, percent, id, text, shingle).where("not (doc <=> first_doc and at = first_at)")
     gone = stage(gone.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("at").alias("__gone")), "gone")
     joined = docs.join(gone, F.col(id).eqNullSafe(F.col("__doc")), "left")
     lines = F.split(text, "\n")

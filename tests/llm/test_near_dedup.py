@@ -123,6 +123,35 @@ def test_lines_equal_brute_force(spark, seed):
     assert got == {(i, n): heads[root(line)] for i, n, line in every}
 
 
+def character_shingles(line):
+    line = line.lower()
+    return {line[i : i + 5] for i in range(len(line) - 4)} or {line}
+
+
+def test_line_shingles_are_taken_at_every_character(spark):
+    rng = random.Random(5)
+    words = "quick brown foxes jumped lazily across seventeen muddy rivers before sunrise yesterday".split()
+    base = ["".join(rng.choices("漢字仮名交文章列語山川", k=60)), "https://h.example/" + "".join(rng.choices("abcdef0123456789", k=90)), "漢😀é" * 9, "ab", "x"]
+    base += [" ".join(rng.sample(words, 12)) for _ in range(6)]
+    typos = [b[:at] + "z" + b[at + 1 :] for b in base for at in (1, len(b) // 2)]
+    every = [*dict.fromkeys(base + ["x" + b for b in base] + typos + [b.upper() for b in base])]
+    sets, parent = [character_shingles(line) for line in every], list(range(len(every)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(every)), 2):
+        if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            x, y = root(i), root(j)
+            parent[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+    got = {r.doc: r.first_doc for r in lines.repeats(docs, shingle=lines.EVERY_CHARACTER).collect()}
+    assert got == {i: root(i) for i in range(len(every))}
+    assert got[len(base)] == 0
+
+
 def test_lines_that_go(spark):
     rows = [(1, "alpha beta gamma\n\nunique one", "s", 3), (2, "alpha beta gamma\nunique two", "s", 3), (3, "alpha beta gamma", "s", 3), (4, None, "s", 0), (5, "", "s", 0), (5, "", "s", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, doc string, n_chars long")
