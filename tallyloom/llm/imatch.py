@@ -6,7 +6,11 @@ has LEXICONS hashes for each of several rates; each hashes the document's sorted
 band terms that are in one randomised subset of the lexicon, which holds one term in
 ``rate``. Long texts agree in sparse subsets, short ones in dense ones.
 
-The band's lexicon has at most (mean distinct terms) / ``low`` entries, whatever the number
+A group of near copies that holds more than ``high`` of the rows lifts its own terms above the
+band. So a text with few band terms adds the rarest of its terms above the band to the lexicon,
+where they count for every text.
+
+The lexicon has at most (mean distinct terms) / ``low`` entries, whatever the number
 of documents; it is counted, and broadcast up to MAX_BROADCAST entries, joined by a shuffle
 beyond. A text is shuffled once, to stand beside the next document; nothing else is but
 term counts.
@@ -32,6 +36,8 @@ LEXICONS = 16
 RATES = (32, 128, 512)
 ENOUGH = 4
 MAX_BROADCAST = 2_000_000
+FEW = 4  # a text has few band terms if they are under one in FEW of its frequent enough ones
+RAREST = 64
 BUCKETS_LEVEL = 16  # squared: ranges of ids
 
 
@@ -59,11 +65,29 @@ def term_codes(text: Column) -> Column:
 
 
 def band(docs: DataFrame, text: str, low: float, high: float) -> DataFrame:
-    """The codes of terms whose document frequency is in the band."""
+    """The codes of terms whose document frequency is in the band, and for each text that has
+    few of them its RAREST rarest terms above the band."""
     n = docs.count()
-    counts = docs.select(F.explode(term_codes(F.col(text))).alias("code")).groupBy("code").count()
+    rows = docs.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("t"), term_codes(F.col(text)).alias("codes"))
+    each = rows.select("t", F.explode("codes").alias("code"))
     least = max(2, int(low * n))
-    return stage(counts.where(F.col("count").between(least, max(least, int(high * n)))).select("code"), "lexicon")
+    most = max(least, int(high * n))
+    known = stage(each.groupBy("code").count().where(F.col("count") >= least), "known")
+    inside = known.where(F.col("count") <= most).select("code")
+    above = known.where(F.col("count") > most)
+    if above.isEmpty():
+        return inside
+    small = known.count() <= MAX_BROADCAST
+    marked = known.select("code", (F.col("count") <= most).alias("inside"))
+    found = each.join(F.broadcast(marked) if small else marked, "code").groupBy("t")
+    found = found.agg(F.count_if("inside").alias("n_inside"), F.count("*").alias("n_known"))
+    bare = stage(found.where(FEW * F.col("n_inside") < F.col("n_known")).select("t"), "bare")
+    if bare.isEmpty():
+        return inside
+    rarest = above.agg(F.transform(F.array_sort(F.collect_list(F.struct("count", "code"))), lambda c: c["code"]).alias("above"))
+    wanted = F.slice(F.array_intersect("above", "codes"), 1, RAREST)
+    more = rows.join(bare, "t", "left_semi").crossJoin(F.broadcast(rarest)).select(F.explode(wanted).alias("code")).distinct()
+    return stage(inside.union(more), "lexicon")
 
 
 def _ranges(docs: DataFrame, key: Column) -> tuple[Column, Column]:

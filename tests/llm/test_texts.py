@@ -146,3 +146,22 @@ def test_fingerprints_of_odd_tables(spark):
     assert imatch.fingerprints(docs.where("false")).count() == 0
     one = imatch.fingerprints(docs.where("text = 'x'")).first()
     assert one.near_next == 1.0 and one.near_edited == 1.0
+
+
+def test_fingerprints_of_a_group_of_near_copies_above_the_band(spark):
+    rng = random.Random(6)
+    vocabulary = [f"term{i}" for i in range(4000)]
+    base = rng.choices(vocabulary[:3000], k=150)
+    texts = {}
+    for i in range(150):
+        words = list(base) if i % 3 == 0 else rng.choices(vocabulary, k=150)
+        for _ in range(4 if i % 3 == 0 else 0):
+            words[rng.randrange(150)] = rng.choice(vocabulary)
+        texts[i // 3 if i % 3 == 0 else 1000 + i] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = {r.doc_id: r for r in imatch.fingerprints(docs).collect()}
+    group = [rows[i] for i in range(1, 50)]
+    assert np.mean([r.near_edited for r in group]) > 0.5
+    assert np.mean([r.near_next for r in group]) > 0.4
+    assert not any(r.fingerprint.startswith("text:") for r in group)
+    assert np.mean([r.near_next for i, r in rows.items() if i > 1001]) < 0.1
