@@ -6,6 +6,8 @@ deterministic noise of case, units and administrative words. Arabic cases are li
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -259,19 +261,21 @@ RANKED = f"""(WITH q AS (SELECT DISTINCT q, {sql_sorted('q')} AS a FROM {ASKED})
     SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, idx) AS r FROM s QUALIFY r <= 8)"""
 
 
-def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = _read(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("idx"))
-    named = catalog(spark, sf_dir).join(part, "idx")
+# With ``whole`` (queries named ..._whole, which have no SQL) they ask for every product.
+def _asked(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    named = catalog(spark, sf_dir)
+    if not whole:
+        named = named.join(_read(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("idx")), "idx")
     return named.select(F.concat(F.substring("name", 1, 3), F.expr("substring(name, 5)")).alias("candidate")).distinct()
 
 
-def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cascade.rank(_asked(spark, sf_dir), lookups.catalog_features(catalog(spark, sf_dir)), CONFIG)
+def _ranked(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return cascade.rank(_asked(spark, sf_dir, whole), lookups.catalog_features(catalog(spark, sf_dir)), CONFIG)
 
 
 @query("fuzzy_top8", f"SELECT q AS candidate, CAST(r AS INTEGER) AS rank, idx, round(score, 4) AS score FROM {RANKED}")
-def fuzzy_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _ranked(spark, sf_dir).select("candidate", F.posexplode("ranked").alias("at", "c"))
+def fuzzy_top8(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    rows = _ranked(spark, sf_dir, whole).select("candidate", F.posexplode("ranked").alias("at", "c"))
     return rows.select("candidate", (F.col("at") + 1).alias("rank"), "c.idx", F.round("c.score", 4).alias("score"))
 
 
@@ -283,15 +287,15 @@ GUARDED = f"""(SELECT *, {_sql_guard} AS same_numbers, {sql_ratio('qa', 'na')} >
 
 
 @query("guard_numbers", f"SELECT q AS candidate, idx, same_numbers FROM {GUARDED}")
-def guard_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _ranked(spark, sf_dir).select("candidate", F.explode("ranked").alias("c"))
+def guard_numbers(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    rows = _ranked(spark, sf_dir, whole).select("candidate", F.explode("ranked").alias("c"))
     same = F.size(F.array_except(features.numbers(F.col("candidate")), features.numbers(F.col("c.name")))) == 0
     return rows.select("candidate", "c.idx", same.alias("same_numbers"))
 
 
 @query("guard_anchor", f"SELECT q AS candidate, idx, alike FROM {GUARDED}")
-def guard_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _ranked(spark, sf_dir).select("candidate", F.explode("ranked").alias("c"))
+def guard_anchor(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    rows = _ranked(spark, sf_dir, whole).select("candidate", F.explode("ranked").alias("c"))
     alike = sim.ratio(features.anchor(F.col("candidate")), features.anchor(features.search_key(F.col("c.name")))) >= CONFIG.anchor_ratio
     return rows.select("candidate", "c.idx", alike.alias("alike"))
 
@@ -303,25 +307,29 @@ def guard_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("closest_suggestion", f"SELECT q AS candidate, arg_min(idx, r) AS idx FROM {GUARDED} WHERE same_numbers AND alike GROUP BY q")
-def closest_suggestion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _ranked(spark, sf_dir).select("candidate", decide.closest(F.col("ranked"))["idx"].alias("idx"))
+def closest_suggestion(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    found = _ranked(spark, sf_dir, whole).select("candidate", decide.closest(F.col("ranked"))["idx"].alias("idx"))
     return found.where("idx is not null")
 
 
 @query("threshold_qualify", f"SELECT q AS candidate, count(*) FILTER (WHERE score >= 80) AS qualified FROM {RANKED} GROUP BY q")
-def threshold_qualify(spark: SparkSession, sf_dir: str) -> DataFrame:
+def threshold_qualify(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     fit = F.filter("ranked", lambda c: c["score"] >= CONFIG.threshold)
-    return _ranked(spark, sf_dir).select("candidate", F.size(fit).cast("long").alias("qualified"))
+    return _ranked(spark, sf_dir, whole).select("candidate", F.size(fit).cast("long").alias("qualified"))
 
 
 @query("price_tiebreak", f"""WITH p AS (SELECT q, max(price) FILTER (WHERE score >= 80) AS paid FROM {RANKED} GROUP BY q)
     SELECT q AS candidate, arg_min(idx, r) FILTER (WHERE score >= 80 AND abs(price - paid) <= 1.0) AS idx FROM {RANKED} JOIN p USING (q) GROUP BY q HAVING max(score) >= 80""")
-def price_tiebreak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = _ranked(spark, sf_dir)
+def price_tiebreak(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    ranked = _ranked(spark, sf_dir, whole)
     paid = F.array_max(F.transform(F.filter("ranked", lambda c: c["score"] >= CONFIG.threshold), lambda c: c["price"]))
     return ranked.withColumn("paid", paid).select("candidate", decide.choose(F.col("ranked"), F.col("paid"), CONFIG)["idx"].alias("idx")).where("idx is not null")
 
 
+for _run in (fuzzy_top8, guard_numbers, guard_anchor, closest_suggestion, threshold_qualify, price_tiebreak):
+    query(f"{_run.__name__}_whole")(partial(_run, whole=True))
+
+
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 2).alias("score"), (F.col("l_discount") > 0.05).alias("verified"))
 
