@@ -376,6 +376,15 @@ def ignored_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.join(hits, "text", "left").select("text", F.coalesce("hit", F.lit(False)).alias("ignored"))
 
 
+@query("ignored_flag_whole")
+def ignored_flag_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ignore list is every product, its words in another order."""
+    texts = catalog(spark, sf_dir).select(F.col("name").alias("text")).distinct()
+    items = _read(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_type", "p_brand", F.concat(F.col("p_size").cast("string"), F.lit("mg"))).alias("item"))
+    hits = semijoins.ignored(texts, items, CONFIG).withColumn("hit", F.lit(True))
+    return texts.join(hits, "text", "left").select("text", F.coalesce("hit", F.lit(False)).alias("ignored"))
+
+
 @query("controlled_flag", "SELECT * FROM (VALUES ('جابتين 300 مجم كبسول', true), ('جابتن 300 كبسول', true), ('ليريكا 75 مجم', false), ('فيت د ثري', true), ('فيت سي', false)) v(text, controlled)")
 def controlled_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = spark.createDataFrame([("جابتين 300 مجم كبسول",), ("جابتن 300 كبسول",), ("ليريكا 75 مجم",), ("فيت د ثري",), ("فيت سي",)], "text string")
@@ -453,6 +462,14 @@ def missing_append_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merges.append_missing(log, new)
 
 
+@query("missing_append_dedupe_whole")
+def missing_append_dedupe_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _read(spark, sf_dir, "part")
+    log = part.where("p_partkey % 2 = 0").select(F.col("p_name").alias("original_text"), F.col("p_partkey").alias("recorded_at"))
+    new = part.where("p_partkey % 2 = 1").select(F.upper("p_name").alias("original_text"), F.col("p_partkey").alias("recorded_at"))
+    return merges.append_missing(log, new)
+
+
 @query("row_status", """SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 45 THEN 'controlled' WHEN l_returnflag = 'A' THEN 'confirmed' WHEN l_linenumber = 2 THEN 'ignored'
     WHEN l_discount > 0.05 THEN 'copied' ELSE 'yellow' END AS status FROM lineitem""")
 def row_status(spark: SparkSession, sf_dir: str) -> DataFrame:
