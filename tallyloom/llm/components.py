@@ -1,68 +1,84 @@
-"""Distributed union-find: connected components of an edge table by hooking and pointer jumping."""
+"""Distributed union-find: connected components of an edge table by randomised contraction."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, unstage
+from .common import outlive, stage, staging
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b: long) to (node, component), component being the smallest node reachable.
 
-    Every node points to a parent (its label), at first to its smallest neighbour or itself. In
-    a round a node hooks onto the smallest parent of its neighbours and then jumps to that
-    parent's parent (path halving), till nothing changes: a few rounds for stars, about a
-    logarithmic number for paths. Labels and edges are staged tables, so
-    each join has two plain inputs and Spark may split a hub's rows; minima are combined
-    before they move, so no list of neighbours is ever held. Nodes without an edge are not
-    returned.
+    In each round every node joins the smallest node of its closed neighbourhood, and the
+    graph is contracted along these choices. The first round orders nodes by id, so stars around
+    their smallest node end at once; later ones order them by a fresh hash (a bijection of longs),
+    so no order of ids is bad: each leaves an expected two thirds of the nodes of a path and fewer of
+    other graphs. There is no cap on rounds, since every round with an edge left loses a node.
+    At last the choices are followed back, and each class takes its smallest node.
+
+    Choices are minima that are combined before they move, and joins have a unique key on one
+    side, so Spark may split a hub's rows; no list of neighbours is ever held. Nodes without an
+    edge to another are not returned. The result is a staged table.
     """
-    both = edges.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
-    both = stage(both.select("e.*").distinct(), "edges")
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
-    labels = stage(least.select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
-    for _ in range(max_rounds):
-        heard = both.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "label")
-        taken = stage(heard.union(labels).groupBy("node").agg(F.min("label").alias("label")), "labels")
-        roots = taken.select(F.col("node").alias("root"), F.col("label").alias("further"))
-        changed = F.coalesce("further", "label")
-        jumped = taken.join(roots, F.col("label") == F.col("root"), "left").select("node", changed.alias("label"))
-        following = stage(jumped, "labels")
-        moved = _sum(labels) != _sum(following)
-        for done in (labels, taken):
-            unstage(done)
-        labels = following
-        if not moved:
-            unstage(both)
-            return labels.withColumnRenamed("label", "component")
-    raise RuntimeError(f"components: no fixed point after {max_rounds} rounds")
-
-
-def _sum(labels: DataFrame):
-    """Labels only fall, so an equal sum means equal labels."""
-    return labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-
-
-def spanning(hits: DataFrame, joined: DataFrame, bucket: str, node: str) -> DataFrame:
-    """Rows of ``hits`` in buckets that hold more than one component, with ``component`` and ``size``."""
-    whole = Window.partitionBy(bucket)
-    rows = hits.join(joined.withColumnRenamed("node", "__node"), F.col(node) == F.col("__node"), "left").drop("__node")
-    rows = rows.withColumn("component", F.coalesce("component", node))
-    spans = [F.min("component").over(whole).alias("__lo"), F.max("component").over(whole).alias("__hi"), F.count("*").over(whole).alias("size")]
-    return rows.select("*", *spans).where("__lo < __hi").drop("__lo", "__hi")
-
-
-def salted_stars(rows: DataFrame, bucket: str, node: str, centres: int = 6) -> DataFrame:
-    """Pairs (a, b) of each row with ``centres`` arbitrary rows of its bucket, across components.
-
-    Where a bucket's smallest and largest members were far from the rest, these are not:
-    one round merges nearly all that is left, at a cost in proportion to the rows.
+    with staging(edges.sparkSession):
+        graph = stage(_edges(edges.select("a", "b")), "graph")
+        choices: list[DataFrame] = []
+        while not graph.isEmpty():
+            choices.append(stage(_nearest(graph, len(choices)), "choices"))
+            one = choices[-1].select(F.col("node").alias("a"), F.col("to").alias("x"))
+            two = choices[-1].select(F.col("node").alias("b"), F.col("to").alias("y"))
+            moved = graph.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+            graph = stage(_edges(moved), "graph")
+        if not choices:
+            return outlive(stage(graph.select(F.col("a").alias("node"), F.col("b").alias("component")), "components"))
+        classes = choices[-1].withColumnRenamed("to", "class")
+        for choice in reversed(choices[:-1]):
+            further = classes.select(F.col("node").alias("to"), F.col("class").alias("further"))
+            classes = choice.join(further, "to", "left").select("node", F.coalesce("further", "to").alias("class"))
+        if len(choices) == 1:  # by id: a class is named by its smallest node
+            return outlive(stage(classes.withColumnRenamed("class", "component"), "components"))
+        classes = stage(classes, "classes")
+        least = classes.groupBy("class").agg(F.min("node").alias("component"))
+        return outlive(stage(classes.join(least, "class").select("node", "component"), "components"))
+
+
+def _edges(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _nearest(graph: DataFrame, salt: int) -> DataFrame:
+    """(node, to): the first of each node and its neighbours, in the order of this round."""
+    rank = lambda c: F.col(c) if salt == 0 else F.xxhash64(c, F.lit(salt))
+    ways = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("next")), F.struct(F.col("b").alias("node"), F.col("a").alias("next")))
+    both = graph.select(F.inline(ways)).select("node", "next", rank("next").alias("rank"))
+    found = both.groupBy("node").agg(F.min_by("next", "rank").alias("next"), F.min("rank").alias("rank"))
+    return found.select("node", F.when(rank("node") < F.col("rank"), F.col("node")).otherwise(F.col("next")).alias("to"))
+
+
+def named(rows: DataFrame, joined: DataFrame, node: str) -> DataFrame:
+    """``rows`` with the component of ``node``, which is the node itself if it has no link."""
+    found = rows.join(joined.select(F.col("node").alias(node), "component"), node, "left")
+    return found.withColumn("component", F.coalesce("component", node))
+
+
+def spanning(rows: DataFrame, bucket: str, node: str, *carried: str) -> DataFrame:
+    """Rows of the buckets that hold more than one ``component``, with the ends ``lo`` and ``hi`` of each bucket.
+
+    An end is a struct of a node, its component and the columns ``carried``: the first of the
+    smallest and of the largest component. Buckets are aggregated before they move and joined back, so one that holds
+    a large part of all rows is split.
     """
-    whole = Window.partitionBy(bucket)
-    picks = [F.min(F.struct(F.xxhash64(node, F.lit(k)), node, "component")).over(whole) for k in range(centres)]
-    found = rows.select(node, "component", F.array(*picks).alias("picks"))
-    found = found.select(node, "component", F.explode(F.array_distinct(F.transform("picks", lambda p: F.struct(p[node].alias("n"), p["component"].alias("c"))))).alias("p"))
-    found = found.where(F.col("component") != F.col("p.c"))
-    return found.select(F.least(node, "p.n").alias("a"), F.greatest(node, "p.n").alias("b")).distinct()
+    fields = [node, "component", *carried]
+    ends = [F.min(F.col("component")).alias("__lo"), F.max(F.col("component")).alias("__hi"), F.count("*").alias("size")]
+    for name, pick in (("lo", F.min_by), ("hi", F.max_by)):
+        ends += [pick(F.col(f), F.col("component")).alias(f"__{name}_{f}") for f in fields]
+    found = rows.groupBy(bucket).agg(*ends).where("__lo < __hi")
+    as_struct = lambda name: F.struct(*(F.col(f"__{name}_{f}").alias(f) for f in fields)).alias(name)
+    return rows.join(found.select(bucket, "size", as_struct("lo"), as_struct("hi")), bucket)
+
+
+def far_end(node: str, field: str) -> Column:
+    """``field`` of a row's end of another component: the low one, or the high one for rows of the low one's."""
+    return F.when(F.col("component") == F.col("lo.component"), F.col(f"hi.{field}")).otherwise(F.col(f"lo.{field}"))

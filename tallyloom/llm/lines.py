@@ -1,174 +1,186 @@
 """Line dedup: fuzzy lines by MinHash, in DataFrame functions only.
 
-``shingle`` says what a line's shingles are, lower-cased. EVERY_CHARACTER, which the queries
-take: its runs of five characters, one at every character (a line of fewer characters is its
-own shingle). SHINGLE, the default, is a stride: one begins at each word (at every sixteenth
-character of longer ones), the word and up to eight characters of what follows; it is cheaper,
-but one letter in a short line alters too many of them.
-
-BANDS bands of ROWS minima find lines of similarity 0.8 with probability 0.9992, more similar ones surely; candidates are confirmed by the exact Jaccard similarity
-of their shingle sets. Distributed union-find makes components, each of which keeps the
-first of its lines by (document, line number).
-
-Minima are taken before any shuffle, so what moves is one signature for each distinct line
-of an input partition, never a text. A bucket costs no pairs within a component: it is
-linked to its smallest and largest line, and only across components that remain are its
-lines joined, under a condition that no pair of the similarity fails: each shingle sets one
-of BITMAP bits, so two bitmaps differ in no more bits than the sets in shingles. A pair
-counts under the first band that it has in common. Confirming reads only
-lines that pass a bitmap of at most 2^BITMAP_BITS entries, which is broadcast.
-
-Defined results: lines end at \\n. Blank lines are always kept. Rows of one id are one
-document: repeated rows keep the same lines; null is an id that comes before all others. A
-null text has no lines, an empty one a blank line. Equal lines have a similarity of 1.
-Lines are told apart by a 64-bit hash. Extra columns are carried along by ``drop_repeats``.
+A line's shingles are its runs of five characters, lower-cased, one at every character; a line of
+fewer characters is its own shingle. Each of POSITIONS minima orders the shingles' 64-bit
+hashes anew (by a rotation and an exclusive-or). Two lines of similarity s agree in a position with probability s; BANDS bands
+of ROWS positions, each position in two of them, make a pair of similarity 0.8 candidates with probability 0.97, of
+0.85 with 0.995, of 0.9 with 0.9996. Candidates are confirmed by the exact Jaccard similarity of
+their shingle sets. Distributed union-find makes components, each of which keeps the first of its
+lines by (document, line number).
+
+Minima are taken before any shuffle: what moves is one signature for each distinct line of an input
+partition, never a text. Two bits of each position form a sketch that goes with a line's band keys, so
+candidates that differ in more than FAR of them are dropped before any text is read (at similarity 0.8 a
+pair does so with probability 5e-5). A bucket costs no pairs within a component: its lines are first linked to
+its smallest, then, where it still spans components, to a line of another one, and only what
+still spans is joined, across components. Confirming reads only lines that pass a bitmap of at most
+2^BITMAP_BITS entries, which is broadcast. Buckets are aggregated before they move and joined back, so a
+large one is split.
+
+Defined results: lines end at \\n. Blank lines are always kept. Rows of one id are one document if
+their texts are equal: repeated rows keep the same lines; rows of one id with different
+texts are different documents, told apart by a 64-bit hash of the text. A null id comes before all others. A
+null text has no lines, an empty one a blank line; an empty table has no lines. Very long lines are hashed in a
+stream; only to confirm a pair are a line's hashes held. Equal lines have a similarity of 1. Lines are told apart by a
+64-bit hash. Extra columns are carried along by ``drop_repeats``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import random
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
-from .components import components, salted_stars, spanning
+from .common import outlive, stage, staging
+from .components import components, far_end, named, spanning
 
-BANDS, ROWS = 10, 3
-WINDOWS = 8  # minima of one hash, each of another 31 of its bits
-MINIMA = [f"m{k}" for k in range(BANDS * ROWS)]
-BITMAP = [f"b{k}" for k in range(4)]  # of 64 bits each
+SHINGLE = 5  # characters
+ROWS, BANDS = 5, 12
+POSITIONS = ROWS * BANDS // 2
+FAR = 13  # of POSITIONS pairs of bits
+STARS = 4  # ends of its buckets that a line is first linked to
+UNROLLED = 4  # shingles hashed in one row
+ROTATIONS = [0, 21, 42]  # of a hash's bits, so that orders of few shingles differ, too
 BITMAP_BITS = 20
-SHINGLE = r"(?=(\S{1,16}\s*\S{0,8}))\S{1,16}"
-EVERY_CHARACTER = r"(?s)(?=(.{5}|\A.{1,4}\z))."
+MINIMA = [f"m{j}" for j in range(POSITIONS)]
+_random = random.Random(29)
+_ORDERS = [_random.getrandbits(63) for _ in range(POSITIONS)]
 
 
-def shingles(line: Column, shingle: str = SHINGLE) -> Column:
-    return F.regexp_extract_all(F.lower(line), F.lit(shingle), F.lit(1))
+def band_positions(band: int) -> list[int]:
+    """Runs of positions for half of the bands; the others take one position of each run or nearly so."""
+    half = BANDS // 2
+    return [band * ROWS + k for k in range(ROWS)] if band < half else [band - half + k * half for k in range(ROWS)]
 
 
 def occurrences(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, at, line, key): each line that is not blank, its number from 0 and its hash."""
-    rows = docs.select(F.col(id).alias("doc"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    """(doc, version, at, line, key): each line that is not blank, its number from 0 and its hash."""
+    rows = docs.select(F.col(id).alias("doc"), F.xxhash64(text).alias("version"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
     return rows.where(F.col("line").rlike(r"\S")).withColumn("key", F.xxhash64("line"))
 
 
-def signatures(lines: DataFrame, shingle: str = SHINGLE) -> DataFrame:
-    """(key, n, minima, bitmap) of each distinct line; n counts its shingles with repetitions.
+def _characters(line: str) -> Column:
+    """Four bytes a character, so that each has its place."""
+    return F.encode(F.lower(line), "UTF-32")
+
 
-    All of it is idempotent: a line that occurs again changes nothing.
-    """
-    each = lines.select("key", shingles(F.col("line"), shingle).alias("all"))
-    each = each.select("key", F.size("all").alias("n"), F.explode("all").alias("s"))
-    hashed = each.select("key", "n", F.xxhash64("s").alias("h0"))
-    hashed = hashed.select("*", *(F.xxhash64("h0", F.lit(k)).alias(f"h{k}") for k in range(1, -(-len(MINIMA) // WINDOWS))))
-    found = [F.max("n").alias("n")]
-    for k, name in enumerate(MINIMA):
-        part = F.shiftrightunsigned(f"h{k // WINDOWS}", 4 * (k % WINDOWS)).bitwiseAND(F.lit(0x7FFFFFFF).cast("long"))
-        found.append(F.min(part).alias(name))
-    for k, name in enumerate(BITMAP):
-        bit = F.expr("shiftleft(1L, cast(h0 & 63 as int))")
-        found.append(F.bit_or(F.when(F.expr(f"(shiftrightunsigned(h0, 6) & 3) = {k}"), bit).otherwise(0)).alias(name))
-    return hashed.groupBy("key").agg(*found)
+def signatures(lines: DataFrame) -> DataFrame:
+    """(key, sketch, bands) of each distinct line. All of it is idempotent: a line that occurs again changes nothing."""
+    width = 4 * SHINGLE
+    rows = lines.select("key", _characters("line").alias("u"))
+    rows = rows.select("key", "u", F.greatest(F.length("u") - (width - 1), F.lit(1)).alias("last"))
+    rows = rows.select("key", "u", "last", F.explode(F.expr(f"sequence(1, last, {4 * UNROLLED})")).alias("i"))
+    hashes = [f"xxhash64(substring(u, least(i + {4 * k}, last), {width})) as h{k}" for k in range(UNROLLED)]
+    rows = rows.selectExpr("key", *hashes)
+    turned = [f"(shiftleft(h{k}, {r}) | shiftrightunsigned(h{k}, {64 - r})) as h{k}_{r}" if r else f"h{k} as h{k}_0" for r in ROTATIONS for k in range(UNROLLED)]
+    rows = rows.selectExpr("key", *turned)
+    found = []
+    for j, (name, order) in enumerate(zip(MINIMA, _ORDERS)):
+        r = ROTATIONS[j % len(ROTATIONS)]
+        least = "least(" + ", ".join(f"h{k}_{r} ^ {order}L" for k in range(UNROLLED)) + ")"
+        found.append(F.expr(f"min(cast(shiftright({least}, 32) as int)) as {name}"))
+    signed = rows.groupBy("key").agg(*found)
+    sketch = " | ".join(f"shiftleft(cast({name} & 3 as long), {2 * j})" for j, name in enumerate(MINIMA))
+    bands = [F.xxhash64(F.lit(b), *(MINIMA[j] for j in band_positions(b))) for b in range(BANDS)]
+    return signed.select("key", F.expr(sketch).alias("sketch"), F.array(*bands).alias("bands"))
 
 
-def _bands() -> Column:
-    return F.array(*(F.xxhash64(F.lit(b), *MINIMA[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)))
+def _apart(left: str, right: str) -> Column:
+    """In how many positions two sketches differ."""
+    d = F.col(left).bitwiseXOR(F.col(right))
+    return F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555)))
 
 
-def confirm(pairs: DataFrame, lines: DataFrame, percent: int, shingle: str = SHINGLE) -> DataFrame:
+def confirm(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets reach the similarity."""
     needed = stage(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "needed")
     bit = F.col("key").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1).cast("long"))
     bitmap = F.broadcast(needed.select(bit.alias("bit")).distinct())
     near = lines.select("key", "line").join(bitmap, bit == F.col("bit"), "left_semi").join(needed, "key", "left_semi")
-    texts = stage(near.groupBy("key").agg(F.min("line").alias("line")), "texts")
+    texts = stage(near.groupBy("key").agg(F.first("line").alias("line")), "texts")
     # What moves is the text, which is smaller than the codes of its shingles.
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("x")), "a")
     both = both.join(texts.select(F.col("key").alias("b"), F.col("line").alias("y")), "b")
-    codes = lambda line: F.array_distinct(F.transform(shingles(F.col(line), shingle), lambda s: F.xxhash64(s)))
-    needs = lambda p: (100 + percent) * F.size(F.array_intersect(p["x"], p["y"])) >= percent * (F.size(p["x"]) + F.size(p["y"]))
-    return both.where(F.exists(F.array(F.struct(codes("x").alias("x"), codes("y").alias("y"))), needs)).select("a", "b")
-
-
-def _close(left: str, right: str, percent: int) -> Column:
-    flipped = F.lit(0)
-    for b in BITMAP:
-        flipped = flipped + F.bit_count(F.col(f"{left}.{b}").bitwiseXOR(F.col(f"{right}.{b}")))
-    return flipped * (100 + percent) <= (F.col(f"{left}.n") + F.col(f"{right}.n")) * (100 - percent)
-
-
-def _first_band(left: str, right: str) -> Column:
-    found = []
-    for b in range(BANDS):
-        same = F.lit(True)
-        for m in MINIMA[b * ROWS : (b + 1) * ROWS]:
-            same = same & (F.col(f"{left}.{m}") == F.col(f"{right}.{m}"))
-        found.append(F.when(same, b))
-    return F.coalesce(*found)
-
-
-def near_lines(lines: DataFrame, percent: int = 80, shingle: str = SHINGLE) -> DataFrame:
-    """(node, component) of the distinct lines that have a near line; component is a line's hash."""
-    signed = stage(signatures(lines, shingle), "signatures")
-    whole = Window.partitionBy("band")
-    hits = signed.select("key", F.posexplode(_bands()).alias("place", "band"))
-    hits = hits.select("band", "place", "key", F.min("key").over(whole).alias("lo"), F.max("key").over(whole).alias("hi"))
-    hits = stage(hits.where("lo < hi"), "hits")
-    stars = hits.select("key", F.explode(F.array("lo", "hi")).alias("end")).where("key <> end")
-    stars = stars.select(F.least("key", "end").alias("a"), F.greatest("key", "end").alias("b")).distinct()
-    stars = stage(_close_pairs(stars, signed, percent), "stars")
-    links = stage(confirm(stars, lines, percent, shingle), "links")
-    joined = stage(components(links), "components")
-
-    member = stage(spanning(hits.select("band", "place", "key"), joined, "band", "key"), "open")
-    if member.isEmpty():
-        return joined
-    more = _close_pairs(salted_stars(member, "band", "key"), signed, percent).join(stars, ["a", "b"], "left_anti")
-    links = stage(links.union(confirm(stage(more, "stars"), lines, percent, shingle)), "links")
-    joined = stage(components(links), "components")
-
-    member = spanning(hits.select("band", "place", "key"), joined, "band", "key").join(signed, "key")
-    member = stage(member, "open")
-    apart = F.expr("p.band = q.band and p.key < q.key and p.component <> q.component") & _close("p", "q", percent)
-    across = member.alias("p").join(member.alias("q"), apart & (F.col("p.place") == _first_band("p", "q")))
-    across = stage(across.select(F.col("p.key").alias("a"), F.col("q.key").alias("b")).distinct(), "across")
-    if across.isEmpty():
-        return joined
-    return stage(components(stage(links.union(confirm(across, lines, percent, shingle)), "links")), "components")
-
-
-def _close_pairs(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    both = pairs.join(signed.alias("p"), F.col("a") == F.col("p.key")).join(signed.alias("q"), F.col("b") == F.col("q.key"))
-    return both.where(_close("p", "q", percent)).select("a", "b")
-
-
-def repeats(docs: DataFrame, percent: int = 80, id: str = "doc_id", text: str = "text", shingle: str = SHINGLE) -> DataFrame:
-    """(doc, at, first_doc, first_at): each line that is not blank, and the first of its component."""
-    lines = occurrences(docs, id, text)
-    joined = near_lines(lines, percent, shingle)
-    place = F.struct("doc", "at")
-    lines = stage(lines.select("doc", "at", "key"), "lines")
-    firsts = lines.groupBy("key").agg(F.min(place).alias("first"))
-    firsts = firsts.join(joined, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("component", "key").alias("component"))
-    firsts = stage(firsts, "firsts")
-    heads = stage(firsts.groupBy("component").agg(F.min("first").alias("head"), F.count("*").alias("n")).where("n > 1"), "heads")
-    # A line alone in its component needs no join; in the others the head replaces its first.
-    firsts = firsts.alias("f").join(heads.alias("h"), F.expr("f.component = h.component"), "left")
-    firsts = stage(firsts.select("key", F.coalesce("head", "first").alias("head")), "firsts")
-    placed = lines.select("doc", "at", "key").join(firsts, "key")
-    return placed.select("doc", "at", F.col("head.doc").alias("first_doc"), F.col("head.at").alias("first_at"))
-
-
-def drop_repeats(docs: DataFrame, percent: int = 80, id: str = "doc_id", text: str = "text", shingle: str = SHINGLE) -> DataFrame:
+    width = 4 * SHINGLE
+    codes = lambda u: f"array_distinct(transform(sequence(1, greatest(length({u}) - {width - 1}, 1), 4), i -> xxhash64(substring({u}, i, {width}))))"
+    both = both.select("a", "b", F.struct(_characters("x").alias("x"), _characters("y").alias("y")).alias("p"))
+    both = both.select("a", "b", F.expr(f"transform(array(p), p -> struct({codes('p.x')} as x, {codes('p.y')} as y))[0]").alias("p"))
+    shared = both.select("a", "b", (F.size("p.x") + F.size("p.y")).alias("sizes"), F.size(F.array_intersect("p.x", "p.y")).alias("shared"))
+    return shared.where((100 + percent) * F.col("shared") >= percent * F.col("sizes")).select("a", "b")
+
+
+def near_lines(lines: DataFrame, percent: int = 80) -> DataFrame:
+    """(node, component) of the distinct lines that have a near line; component is a line's hash. A staged table."""
+    with staging(lines.sparkSession):
+        signed = stage(signatures(lines), "signatures")
+        bands = signed.select("key", "sketch", F.explode("bands").alias("band"))
+        shared = bands.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.min_by("sketch", "key").alias("lo_sketch"))
+        hits = bands.join(shared.where("lo < hi").drop("hi"), "band")
+        hits = stage(hits, "hits")
+
+        stars = hits.where("key <> lo").where(_apart("sketch", "lo_sketch") <= FAR).groupBy("key")
+        stars = stars.agg(F.slice(F.array_sort(F.collect_set("lo")), 1, STARS).alias("ends"))
+        stars = stage(stars.select(F.explode("ends").alias("a"), F.col("key").alias("b")), "stars")
+        links = stage(confirm(stars, lines, percent), "links")
+        joined = components(links)
+
+        hits = hits.select("band", "key", "sketch")
+        member = stage(spanning(named(hits, joined, "key"), "band", "key", "sketch"), "open")
+        if member.isEmpty():
+            return outlive(joined)
+        ends = member.withColumn("end", F.struct(far_end("key", "key").alias("key"), far_end("key", "sketch").alias("sketch")))
+        ends = ends.where(_apart("sketch", "end.sketch") <= FAR).groupBy("key").agg(F.slice(F.array_sort(F.collect_set("end.key")), 1, STARS).alias("ends"))
+        ends = ends.select("key", F.explode("ends").alias("end")).select(F.least("key", "end").alias("a"), F.greatest("key", "end").alias("b"))
+        more = stage(ends.distinct().join(stars, ["a", "b"], "left_anti"), "stars")
+        links = stage(links.union(confirm(more, lines, percent)), "links")
+        joined = components(links)
+
+        member = spanning(named(member.select("band", "key", "sketch"), joined, "key"), "band", "key").drop("lo", "hi")
+        member = stage(member, "open")
+        apart = F.expr("p.band = q.band and p.key < q.key and p.component <> q.component") & (_apart("p.sketch", "q.sketch") <= FAR)
+        across = member.alias("p").join(member.alias("q"), apart).select(F.col("p.key").alias("a"), F.col("q.key").alias("b")).distinct()
+        across = stage(across.join(stars.union(more), ["a", "b"], "left_anti"), "across")
+        if across.isEmpty():
+            return outlive(joined)
+        return outlive(components(links.union(stage(confirm(across, lines, percent), "links"))))
+
+
+def repeats(docs: DataFrame, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, version, at, first_doc, first_version, first_at): each line that is not blank, and the first of its component."""
+    with staging(docs.sparkSession):
+        lines = occurrences(docs, id, text)
+        joined = near_lines(lines, percent)
+        lines = outlive(stage(lines.select("doc", "version", "at", "key"), "lines"))
+        firsts = lines.groupBy("key").agg(F.min(F.struct("doc", "version", "at")).alias("first"), F.count("*").alias("n"))
+        firsts = firsts.join(joined, F.col("key") == F.col("node"), "left").where("n > 1 or node is not null")
+        firsts = stage(firsts.select("key", "first", F.coalesce("component", "key").alias("component")), "firsts")
+        heads = firsts.groupBy("component").agg(F.min("first").alias("head"))
+        firsts = outlive(stage(firsts.join(heads, "component").select("key", "head"), "heads"))
+        # A line alone in its component needs no head.
+        placed = lines.join(firsts, "key", "left")
+        own = F.struct("doc", "version", "at")
+        placed = placed.select("doc", "version", "at", F.coalesce("head", own).alias("head"))
+        return placed.select(
+            "doc", "version", "at", F.col("head.doc").alias("first_doc"), F.col("head.version").alias("first_version"), F.col("head.at").alias("first_at")
+        )
+
+
+KEPT = "doc <=> first_doc and version = first_version and at = first_at"
+
+
+def drop_repeats(docs: DataFrame, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with texts of the lines that stay. A document all of whose lines go is dropped."""
-    gone = repeats(docs, percent, id, text, shingle).where("not (doc <=> first_doc and at = first_at)")
-    gone = stage(gone.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("at").alias("__gone")), "gone")
-    joined = docs.join(gone, F.col(id).eqNullSafe(F.col("__doc")), "left")
-    lines = F.split(text, "\n")
-    stay = F.filter(lines, lambda line, i: ~F.array_contains("__gone", i))
-    left = F.exists(stay, lambda line: line.rlike(r"\S"))
-    joined = joined.withColumn("__stay", F.when(F.col("__gone").isNotNull(), stay)).where(F.col("__gone").isNull() | left)
-    changed = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join("__stay", "\n"))
-    kept = [changed.alias(c) if c == text else F.col(c) for c in docs.columns]
-    if "n_chars" in docs.columns:
-        kept = [F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.char_length(F.array_join("__stay", "\n")).cast("long")).alias(c) if c == "n_chars" else k for c, k in zip(docs.columns, kept)]
-    return joined.select(*kept)
+    with staging(docs.sparkSession):
+        gone = repeats(docs, percent, id, text).where(f"not ({KEPT})")
+        gone = gone.groupBy(F.col("doc").alias("__doc"), F.col("version").alias("__version")).agg(F.collect_set("at").alias("__gone"))
+        gone = outlive(stage(gone, "gone"))
+    joined = docs.join(gone, F.col(id).eqNullSafe(F.col("__doc")) & (F.xxhash64(text) == F.col("__version")), "left")
+    joined = joined.withColumn("__lines", F.when(F.col("__gone").isNotNull(), F.split(text, "\n")))
+    at = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
+    stay = F.transform(at, lambda i: F.get("__lines", i))
+    joined = joined.withColumn("__stay", F.when(F.col("__gone").isNotNull(), stay))
+    joined = joined.where(F.col("__gone").isNull() | F.exists("__stay", lambda line: line.rlike(r"\S")))
+    joined = joined.withColumn("__text", F.array_join("__stay", "\n"))
+    values = {text: F.coalesce("__text", text), "n_chars": F.coalesce(F.char_length("__text").cast("long"), "n_chars")}
+    return joined.select(*((values[c] if c in values else F.col(c)).alias(c) for c in docs.columns))

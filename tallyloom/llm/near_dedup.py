@@ -12,16 +12,18 @@ Beside its signature a set has a parity sketch: each shingle flips one of PARITY
 Two sketches differ in no more bits than the sets differ in shingles, so pairs whose
 sketches differ by more than the similarity allows are dropped without any loss.
 
-Groups of many near copies cost no pairs within the group: each bucket is first linked to
-its smallest and largest class; only buckets that still span components are joined, and
-only across components, which loses no link between components. The join's condition has to
-stay small: beyond 8,000 bytes of generated code the JVM would interpret it. Buckets over HOT_BUCKET
+Sets too small to have a partner of another set (under four shingles at 80 percent) need no keys.
+Groups of many near copies cost no pairs within the group: each class is first linked to a
+few of its buckets' smallest classes; in buckets that still span components, to a class of
+another one; and what then still spans is joined, only across components and each pair once,
+in the first bucket that it shares, which loses no link between components. Buckets over HOT_BUCKET
 are refined by a second key from the other chunks, with up to two errors: complete by the
-same principle.
+same principle. Buckets are aggregated before they move and joined back, so a large one is split.
 
 Defined results: null and empty texts, and texts without words, have an empty set and
 are linked with nothing; rows without an id take no part (component null, kept). Repeated
-rows are copies. Other columns are carried along unchanged.
+rows are copies. Very long texts are read in slices of words. Empty tables give no rows. Other columns are
+carried along unchanged.
 """
 
 from __future__ import annotations
@@ -31,17 +33,19 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_slices, stage, text_buffers, unstage
-from .components import components, salted_stars, spanning
+from .common import outlive, row_slices, stage, staging, text_buffers, unstage
+from .components import components, far_end, named, spanning
 from .words import SLICE_BYTES, mix, shingles, words
 
 POSITIONS, CHUNK, SYMBOL_BITS = 70, 5, 8
 CHUNKS = POSITIONS // CHUNK  # each in a long
 MAX_DISTANCE = 2 * CHUNKS - 1
 HOT_BUCKET = 20_000
+STARS = 4  # smallest classes of its buckets that a class is first linked to
+PARITY_ROWS = 256  # sketched at a time
 SIGNATURE = [f"s{i}" for i in range(CHUNKS)]
 PARITY_BITS = 1024
 PARITY = [f"p{i}" for i in range(PARITY_BITS // 64)]
@@ -74,10 +78,15 @@ def _unpack(longs: np.ndarray) -> np.ndarray:
 
 
 def _parity(row: np.ndarray, value: np.ndarray, n_rows: int) -> np.ndarray:
-    """Rows x longs: which bits the shingles of a set flip an odd number of times."""
+    """Rows x longs: which bits the shingles of a set flip an odd number of times. ``row`` is sorted."""
     bit = (value >> np.uint64(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64)
-    odd = np.bincount(row * PARITY_BITS + bit, minlength=n_rows * PARITY_BITS) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(n_rows, PARITY_BITS), axis=1).view(np.int64)
+    found = np.zeros((n_rows, PARITY_BITS // 8), np.uint8)
+    for lo in range(0, n_rows, PARITY_ROWS):
+        hi = min(lo + PARITY_ROWS, n_rows)
+        a, b = np.searchsorted(row, (lo, hi))
+        flips = np.bincount((row[a:b] - lo) * PARITY_BITS + bit[a:b], minlength=(hi - lo) * PARITY_BITS)
+        found[lo:hi] = np.packbits((flips & 1).astype(np.uint8).reshape(hi - lo, PARITY_BITS), axis=1)
+    return found.view(np.int64)
 
 
 def sets(docs: DataFrame, size: int, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -104,57 +113,38 @@ def sets(docs: DataFrame, size: int, id: str = "doc_id", text: str = "text") ->
     return source.mapInArrow(run, "id long, n long, a long, b long, " + ", ".join(f"{s} long" for s in SIGNATURE + PARITY))
 
 
-def _keys(symbols: np.ndarray) -> np.ndarray:
-    """Rows x (POSITIONS) keys: each chunk with one symbol left out."""
-    found = []
-    for c in range(CHUNKS):
-        for left_out in range(CHUNK):
-            key = np.full(len(symbols), c * CHUNK + left_out, np.int64)
-            for p in range(CHUNK):
-                if p != left_out:
-                    key = (key << SYMBOL_BITS) | symbols[:, c * CHUNK + p]
-            found.append(key)
-    return np.stack(found, axis=1)
-
-
 def bucket_keys(classes: DataFrame) -> DataFrame:
-    """(key, rep): the keys of each class."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
-                longs = np.stack([part.column(s).to_numpy() for s in SIGNATURE], axis=1)
-                keys = _keys(_unpack(longs))
-                rep = np.repeat(part.column("rep").to_numpy(), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(rep)], names=["key", "rep"])
-
-    return classes.select("rep", *SIGNATURE).mapInArrow(run, "key long, rep long")
+    """(key, rep): the POSITIONS keys of each class, chunk by chunk with one symbol left out."""
+    found = []
+    for place in range(POSITIONS):
+        c, left_out = divmod(place, CHUNK)
+        kept = ((1 << CHUNK * SYMBOL_BITS) - 1) & ~(((1 << SYMBOL_BITS) - 1) << SYMBOL_BITS * left_out)
+        found.append(F.col(f"s{c}").bitwiseAND(F.lit(kept)).bitwiseOR(F.lit(place << CHUNK * SYMBOL_BITS)))
+    return classes.select(F.explode(F.array(*found)).alias("key"), "rep")
 
 
 def _refined(rows: DataFrame) -> DataFrame:
-    """Hot buckets' rows under second keys: the other chunks with two symbols left out."""
-    fields = [f for f in rows.schema.fieldNames() if f != "key"]
+    """(key, rep, component): hot buckets' rows under second keys, the other chunks with two symbols left out."""
     kept = list(combinations(range(CHUNK), CHUNK - 2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                symbols = _unpack(np.stack([part.column(s).to_numpy() for s in SIGNATURE], axis=1))
+                symbols = _unpack(np.stack([part.column(s).to_numpy() for s in SIGNATURE], axis=1)).astype(np.uint64)
                 first = part.column("key").to_numpy().astype(np.uint64)
-                own = (first >> np.uint64(SYMBOL_BITS * (CHUNK - 1))).astype(np.int64) // CHUNK
+                own = (first >> np.uint64(SYMBOL_BITS * CHUNK)).astype(np.int64) // CHUNK
                 for c in range(CHUNKS):
                     other = pa.array(own != c)
                     for n, places in enumerate(kept):
                         second = np.full(len(first), c * len(kept) + n, np.uint64)
                         for p in places:
-                            second = (second << np.uint64(SYMBOL_BITS)) | symbols[:, c * CHUNK + p].astype(np.uint64)
+                            second = (second << np.uint64(SYMBOL_BITS)) | symbols[:, c * CHUNK + p]
                         key = mix(mix(first) ^ second).view(np.int64)
-                        out = pa.RecordBatch.from_arrays([pa.array(key), *(part.column(f) for f in fields)], names=["key", *fields])
+                        out = pa.RecordBatch.from_arrays([pa.array(key), part.column("rep"), part.column("component")], names=["key", "rep", "component"])
                         yield out.filter(other)
 
-    return rows.mapInArrow(run, "key long, " + ", ".join(f"{f} long" for f in fields))
+    return rows.select("key", "rep", "component", *SIGNATURE).mapInArrow(run, "key long, rep long, component long")
 
 
 def _differing(left: str, right: str, c: int) -> Column:
@@ -164,18 +154,32 @@ def _differing(left: str, right: str, c: int) -> Column:
     return (d.bitwiseAND(low) + low).bitwiseOR(d).bitwiseAND(high)
 
 
-def _close(left: str, right: str, percent: int) -> Column:
-    """No pair that reaches the similarity fails the conditions on sizes and parities."""
+def _near(left: str, right: str, percent: int) -> Column:
+    """Sizes that allow the similarity, and signatures within MAX_DISTANCE."""
     n, m = F.col(f"{left}.n"), F.col(f"{right}.n")
-    flipped = distance = F.lit(0)
-    for p in PARITY:
-        flipped = flipped + F.bit_count(F.col(f"{left}.{p}").bitwiseXOR(F.col(f"{right}.{p}")))
+    distance = F.lit(0)
     for c in range(CHUNKS):
         distance = distance + F.bit_count(_differing(left, right, c))
-    return (
-        (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
-        & (flipped * (100 + percent) <= (n + m) * (100 - percent)) & (distance <= MAX_DISTANCE)
-    )
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (distance <= MAX_DISTANCE)
+
+
+def _first_key(left: str, right: str) -> Column:
+    """Whether the bucket of ``left.key`` is the first that both share."""
+    place = F.shiftright(f"{left}.key", CHUNK * SYMBOL_BITS)
+    found = F.lit(-1)
+    for c in reversed(range(CHUNKS)):
+        errors = F.bit_count(_differing(left, right, c))
+        chunk = place.between(c * CHUNK, c * CHUNK + CHUNK - 1)
+        found = F.when(errors == 0, F.when(place == c * CHUNK, 1).otherwise(0)).when(errors == 1, F.when(chunk, 1).otherwise(0)).otherwise(found)
+    return found == 1
+
+
+def _parities(left: str, right: str, percent: int) -> Column:
+    """No pair that reaches the similarity fails: sketches differ in no more bits than the sets in shingles."""
+    flipped = F.lit(0)
+    for p in PARITY:
+        flipped = flipped + F.bit_count(F.col(f"{left}.{p}").bitwiseXOR(F.col(f"{right}.{p}")))
+    return flipped * (100 + percent) <= (F.col(f"{left}.n") + F.col(f"{right}.n")) * (100 - percent)
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id: str, text: str) -> DataFrame:
@@ -216,63 +220,88 @@ def near_duplicates(
     docs: DataFrame, shingle_words: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """(id, n_shingles, component_id) of every row of ``docs``."""
-    every = stage(sets(docs, shingle_words, id, text), "sets")
-    first = [F.first(s).alias(s) for s in SIGNATURE + PARITY]
-    classes = stage(
-        every.where("n > 0 and id is not null").groupBy("n", "a", "b").agg(F.min("id").alias("rep"), *first), "classes"
-    )
+    with staging(docs.sparkSession):
+        every = stage(sets(docs, shingle_words, id, text), "sets")
+        first = [F.first(s).alias(s) for s in SIGNATURE + PARITY]
+        classes = stage(
+            every.where("n > 0 and id is not null").groupBy("n", "a", "b").agg(F.min("id").alias("rep"), *first), "classes"
+        )
+        every = stage(every.select("id", "n", "a", "b"), "slim")
+        joined = _linked(classes, docs, shingle_words, percent, id, text)
+        component = named(classes.select("n", "a", "b", "rep"), joined, "rep").select("n", "a", "b", "component")
+        out = every.alias("e").join(component.alias("c"), F.expr("e.n = c.n and e.a = c.a and e.b = c.b and e.id is not null"), "left")
+        found = out.select(
+            F.col("e.id").alias(id), F.col("e.n").alias("n_shingles"), F.coalesce("c.component", "e.id").alias("component_id")
+        )
+        return outlive(stage(found, "near"))
+
+
+def _linked(classes: DataFrame, docs: DataFrame, size: int, percent: int, id: str, text: str) -> DataFrame:
+    """(node, component) of the classes that have a link."""
     signed = classes.select("rep", "n", *SIGNATURE, *PARITY)
-    whole = Window.partitionBy("key")
-    hits = bucket_keys(signed).select("key", "rep", F.min("rep").over(whole).alias("lo"), F.max("rep").over(whole).alias("hi"))
-    hits = stage(hits.where("lo < hi"), "hits")
-
-    ends = F.explode(F.array("lo", "hi"))
-    stars = hits.select("rep", ends.alias("end")).where("rep <> end")
+    # A set of n shingles has a partner of another set only if one of n + 1 would do.
+    keys = bucket_keys(signed.where(F.col("n") * 100 >= (F.col("n") + 1) * percent))
+    shared = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
+    hits = stage(keys.join(shared, "key"), "hits")
+
+    few = F.slice(F.array_sort(F.collect_set("lo")), 1, STARS)  # of at most POSITIONS
+    stars = hits.where("rep <> lo").groupBy("rep").agg(few.alias("ends")).select(F.col("rep").alias("b"), F.explode("ends").alias("a"))
+    links = _confirmed(stars, signed, docs, size, percent, id, text)
+    joined = components(links)
+
+    hits = hits.select("key", "rep")
+    member = stage(spanning(named(hits, joined, "rep"), "key", "rep"), "open")
+    if member.isEmpty():
+        return joined
+    ends = F.slice(F.array_sort(F.collect_set(far_end("rep", "rep"))), 1, STARS)
+    stars = member.groupBy("rep").agg(ends.alias("ends")).select("rep", F.explode("ends").alias("end"))
     stars = stars.select(F.least("rep", "end").alias("a"), F.greatest("rep", "end").alias("b")).distinct()
-    stars = stage(_close_pairs(stars, signed, percent), "stars")
-    links = stage(confirm(stars, docs, shingle_words, percent, id, text), "links")
-    joined = stage(components(links), "components")
-
-    member = stage(spanning(hits.select("key", "rep"), joined, "key", "rep"), "open")
-    if not member.isEmpty():
-        more = _close_pairs(salted_stars(member, "key", "rep"), signed, percent).join(stars, ["a", "b"], "left_anti")
-        links = stage(links.union(confirm(stage(more, "stars"), docs, shingle_words, percent, id, text)), "links")
-        joined = stage(components(links), "components")
-        across = stage(_across(spanning(hits.select("key", "rep"), joined, "key", "rep").join(signed, "rep"), percent), "across")
-        if not across.isEmpty():
-            links = stage(links.union(confirm(across, docs, shingle_words, percent, id, text)), "links")
-            joined = stage(components(links), "components")
-
-    named = classes.select("n", "a", "b", "rep").join(joined, F.col("rep") == F.col("node"), "left")
-    named = stage(named.select("n", "a", "b", F.coalesce("component", "rep").alias("component")), "named")
-    unstage(hits)
-    out = every.alias("e").join(named.alias("c"), F.expr("e.n = c.n and e.a = c.a and e.b = c.b and e.id is not null"), "left")
-    return out.select(
-        F.col("e.id").alias(id), F.col("e.n").alias("n_shingles"), F.coalesce("c.component", "e.id").alias("component_id")
-    )
+    links = stage(links.union(_confirmed(stars, signed, docs, size, percent, id, text)), "links")
+    joined = components(links)
+
+    member = spanning(named(member.select("key", "rep"), joined, "rep"), "key", "rep").drop("lo", "hi")
+    across = _across(stage(member.join(signed.drop(*PARITY), "rep"), "open"), percent)
+    more = _confirmed(across, signed, docs, size, percent, id, text)
+    return joined if more.isEmpty() else components(links.union(more))
 
 
 def _across(member: DataFrame, percent: int) -> DataFrame:
-    """Close pairs (a, b) of a bucket's rows that are of different components, each once."""
-    member = stage(member, "open")
-    hot = member.where(F.col("size") > HOT_BUCKET).drop("size")
-    side = member.where(F.col("size") <= HOT_BUCKET).drop("size")
-    apart = F.expr("p.key = q.key and p.rep < q.rep and p.component <> q.component") & _close("p", "q", percent)
+    """Near pairs (a, b) of a bucket's rows that are of different components, each once."""
+    side = member.where(F.col("size") <= HOT_BUCKET)
+    apart = F.expr("p.key = q.key and p.rep < q.rep and p.component <> q.component")
     pair = [F.col("p.rep").alias("a"), F.col("q.rep").alias("b")]
-    across = side.alias("p").join(side.alias("q"), apart).select(*pair)
-    if not hot.isEmpty():
-        finer = stage(_refined(hot), "refined")
-        across = across.union(finer.alias("p").join(finer.alias("q"), apart).select(*pair))
-    return across.distinct()
+    across = side.alias("p").join(side.alias("q"), apart & _near("p", "q", percent) & _first_key("p", "q")).select(*pair)
+    hot = member.where(F.col("size") > HOT_BUCKET)
+    if hot.isEmpty():
+        return across
+    finer = stage(_refined(hot), "refined")
+    return across.union(finer.alias("p").join(finer.alias("q"), apart).select(*pair)).distinct()
 
 
-def _close_pairs(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, size: int, percent: int, id: str, text: str) -> DataFrame:
+    """The links among ``pairs``: pruned by signatures and parities, which lose none, then confirmed."""
     both = pairs.join(signed.alias("p"), F.col("a") == F.col("p.rep")).join(signed.alias("q"), F.col("b") == F.col("q.rep"))
-    return both.where(_close("p", "q", percent)).select("a", "b")
+    both = stage(both.where(_near("p", "q", percent)).where(_parities("p", "q", percent)).select("a", "b"), "pairs")
+    links = stage(confirm(both, docs, size, percent, id, text), "links")
+    unstage(both)
+    return links
 
 
 def keep_one(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id; one row of each id stays."""
-    found = near_duplicates(docs, shingle_words, percent, id, text)
-    gone = found.where(F.col("component_id") < F.col(id)).select(F.col(id).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id) == F.col("__gone"), "left_anti")
+    """``docs`` without the rows whose component has a smaller id; one row of each id stays.
+
+    Of rows that share an id the first by a hash of its text stays, of equal texts an arbitrary one. Rows
+    without an id all stay.
+    """
+    with staging(docs.sparkSession):
+        found = near_duplicates(docs, shingle_words, percent, id, text).where(F.col(id).isNotNull())
+        each = found.groupBy(F.col(id).alias("__id")).agg((F.min("component_id") < F.col(id)).alias("__copy"), (F.count("*") > 1).alias("__again"))
+        gone = outlive(stage(each.where("__copy or __again"), "gone"))
+        again = gone.where("not __copy")
+        rest = docs.join(gone, F.col(id) == F.col("__id"), "left_anti")
+        if again.isEmpty():
+            return rest
+        rows = docs.join(again, F.col(id) == F.col("__id"), "left_semi")
+        row = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
+        ones = rows.groupBy(F.col(id).alias("__id")).agg(F.min_by(row, F.xxhash64(text)).alias("row"))
+        return rest.union(ones.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns))))

@@ -15,10 +15,10 @@ PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.repeats(table(spark, sf_dir, "documents"), shingle=lines.EVERY_CHARACTER)
+    found = lines.repeats(table(spark, sf_dir, "documents"))
     return found.select(
         F.col("doc").alias("doc_id"), F.col("at").alias("line_no"), F.col("first_doc").alias("first_doc_id"),
-        F.col("first_at").alias("first_line_no"), F.expr("doc <=> first_doc and at = first_at").alias("kept"),
+        F.col("first_at").alias("first_line_no"), F.expr(lines.KEPT).alias("kept"),
     )
 
 

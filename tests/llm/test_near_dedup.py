@@ -1,10 +1,12 @@
 import itertools
+import math
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom.llm import components as module
 from tallyloom.llm import lines, near_dedup
 from tallyloom.llm.components import components
 
@@ -71,7 +73,7 @@ def test_empty_table_null_ids_and_repeated_rows(spark):
     assert sorted((r.doc_id for r in near_dedup.keep_one(docs).collect()), key=str) == [1, 3, None]
 
 
-def test_signatures_hold_the_guarantee():
+def test_signatures_hold_the_guarantee(spark):
     """Every pair within the distance has a key in common."""
     import numpy as np
 
@@ -80,7 +82,10 @@ def test_signatures_hold_the_guarantee():
     b = a.copy()
     for row in b:
         row[rng.choice(near_dedup.POSITIONS, near_dedup.MAX_DISTANCE, replace=False)] ^= 1
-    assert (near_dedup._keys(a) == near_dedup._keys(b)).any(axis=1).all()
+    longs = [near_dedup._pack(x.astype(np.uint64)) for x in (a, b)]
+    frames = [spark.createDataFrame([(i, *map(int, row)) for i, row in enumerate(x)], ["rep", *near_dedup.SIGNATURE]) for x in longs]
+    x, y = (near_dedup.bucket_keys(f) for f in frames)
+    assert x.join(y, ["key", "rep"]).select("rep").distinct().count() == len(a)
 
 
 def test_union_find_of_a_path_and_a_star(spark):
@@ -89,7 +94,19 @@ def test_union_find_of_a_path_and_a_star(spark):
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(51)}
 
 
-SHINGLE = re.compile(r"(?=(\S{1,16}\s*\S{0,8}))\S{1,16}")
+@pytest.mark.parametrize("order", ["ascending", "descending", "random", "far"])
+def test_union_find_of_long_paths(spark, monkeypatch, order):
+    n, rounds = 2000, []
+    nodes = {"ascending": [*range(n)], "descending": [*range(n)][::-1], "random": random.Random(1).sample(range(n), n), "far": [0, *range(n - 1, 0, -1)]}[order]
+    monkeypatch.setattr(module, "_nearest", lambda graph, salt, f=module._nearest: rounds.append(salt) or f(graph, salt))
+    edges = [*zip(nodes, nodes[1:]), (5000, 5001), (5002, 5001), (6000, 6000)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(n)} | {5000: 5000, 5001: 5000, 5002: 5000}
+    assert len(rounds) <= 2 * math.log2(n) + 2
+
+
+def test_union_find_without_edges(spark):
+    assert components(spark.createDataFrame([(7, 7)], "a long, b long")).collect() == []
 
 
 @pytest.mark.parametrize("seed", [3])
@@ -103,7 +120,7 @@ def test_lines_equal_brute_force(spark, seed):
             if line.strip():
                 first.setdefault(line, (i, n))
                 every.append((i, n, line))
-    sets = {line: set(SHINGLE.findall(line.lower())) for line in first}
+    sets = {line: character_shingles(line) for line in first}
     parent = {line: line for line in first}
 
     def root(x):
@@ -147,7 +164,7 @@ def test_line_shingles_are_taken_at_every_character(spark):
             x, y = root(i), root(j)
             parent[max(x, y)] = min(x, y)
     docs = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
-    got = {r.doc: r.first_doc for r in lines.repeats(docs, shingle=lines.EVERY_CHARACTER).collect()}
+    got = {r.doc: r.first_doc for r in lines.repeats(docs).collect()}
     assert got == {i: root(i) for i in range(len(every))}
     assert got[len(base)] == 0
 
@@ -161,7 +178,39 @@ def test_lines_that_go(spark):
     assert lines.drop_repeats(docs.where("false")).count() == 0
 
 
+def test_rows_of_one_id_lose_only_their_own_lines(spark):
+    rows = [(1, "alpha..\nkeep me one two three"), (1, "totally different text here\nalpha.."), (0, "alpha..")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r.doc_id, r.text) for r in lines.drop_repeats(docs).collect())
+    assert kept == [(0, "alpha.."), (1, "keep me one two three"), (1, "totally different text here")]
+
+
+def test_lines_that_repeat_thousands_of_times_in_long_texts(spark):
+    long = "".join(random.Random(2).choices("abcdefgh ", k=50_000))
+    rows = [(i, "\n".join([f"shared line of many, version {i % 3}"] * 400 + [f"{i} {long}"])) for i in range(6)] + [(9, "\n \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id: r.text for r in lines.drop_repeats(docs).collect()}
+    assert kept[0].count("shared") == 1 and kept[9] == "\n \n" and set(kept) == {0, 9}
+
+
+def test_recall_of_lines_at_the_threshold(spark):
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz      漢字仮名"
+    pairs = []
+    while len(pairs) < 400:
+        a = "".join(rng.choices(letters, k=rng.choice([12, 30, 80, 200, 400])))
+        b = list(a)
+        for _ in range(max(1, len(a) // 45)):
+            b[rng.randrange(len(b))] = rng.choice(letters)
+        x, y = character_shingles(a), character_shingles("".join(b))
+        if 0.8 <= len(x & y) / len(x | y) < 0.9:
+            pairs.append((a, "".join(b)))
+    rows = [(2 * i + k, line) for i, pair in enumerate(pairs) for k, line in enumerate(pair)]
+    got = {r.doc: r.first_doc for r in lines.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(len(pairs))) >= 0.95 * len(pairs)
+
+
 def test_no_python_in_line_dedup(spark):
     frame = spark.createDataFrame([(1, "a b"), (2, "a b")], "doc_id long, text string")
-    plan = lines.repeats(frame)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Arrow|Pandas", plan)
+    plans = [lines.repeats(frame), lines.signatures(lines.occurrences(frame)), lines.confirm(frame.selectExpr("doc_id a", "doc_id b"), lines.occurrences(frame), 80)]
+    assert not any(re.search("Python|Arrow|Pandas", p._jdf.queryExecution().executedPlan().toString()) for p in plans)
