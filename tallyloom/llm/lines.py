@@ -11,9 +11,9 @@ lines by (document, line number).
 Minima are taken before any shuffle: what moves is one signature for each distinct line of an input
 partition, never a text. Two bits of each position form a sketch that goes with a line's band keys, so
 candidates that differ in more than FAR of them are dropped before any text is read (at similarity 0.8 a
-pair does so with probability 5e-5). A bucket costs no pairs within a component: its lines are first linked to
+candidate does so with probability 4e-4). A bucket costs no pairs within a component: its lines are first linked to
 its smallest, then, where it still spans components, to a line of another one, and only what
-still spans is joined, across components. Confirming reads only lines that pass a bitmap of at most
+still spans is joined, across components, in large buckets under a bound that loses no pair: parities of the two shingle sets. Confirming reads only lines that pass a bitmap of at most
 2^BITMAP_BITS entries, which is broadcast. Buckets are aggregated before they move and joined back, so a
 large one is split.
 
@@ -28,6 +28,7 @@ stream; only to confirm a pair are a line's hashes held. Equal lines have a simi
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,12 +39,16 @@ from .components import components, far_end, named, spanning
 SHINGLE = 5  # characters
 ROWS, BANDS = 5, 12
 POSITIONS = ROWS * BANDS // 2
-FAR = 13  # of POSITIONS pairs of bits
-STARS = 4  # ends of its buckets that a line is first linked to
+FAR = 10  # of POSITIONS pairs of bits
+STARS = 4  # ends of its buckets that a line is linked to at once
+HOT_BUCKET = 50  # lines, from which parities bound the pairs before they are joined
+PASSES = 3  # over the bands, so that a third of them moves at a time
 UNROLLED = 4  # shingles hashed in one row
 ROTATIONS = [0, 21, 42]  # of a hash's bits, so that orders of few shingles differ, too
 BITMAP_BITS = 20
 MINIMA = [f"m{j}" for j in range(POSITIONS)]
+NAMES = [f"b{b}" for b in range(BANDS)]
+PARITY = [f"p{k}" for k in range(16)]  # of 64 bits each
 _random = random.Random(29)
 _ORDERS = [_random.getrandbits(63) for _ in range(POSITIONS)]
 
@@ -66,7 +71,7 @@ def _characters(line: str) -> Column:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(key, sketch, bands) of each distinct line. All of it is idempotent: a line that occurs again changes nothing."""
+    """(key, sketch, b0 to b11) of each distinct line. All of it is idempotent: a line that occurs again changes nothing."""
     width = 4 * SHINGLE
     rows = lines.select("key", _characters("line").alias("u"))
     rows = rows.select("key", "u", F.greatest(F.length("u") - (width - 1), F.lit(1)).alias("last"))
@@ -83,7 +88,7 @@ def signatures(lines: DataFrame) -> DataFrame:
     signed = rows.groupBy("key").agg(*found)
     sketch = " | ".join(f"shiftleft(cast({name} & 3 as long), {2 * j})" for j, name in enumerate(MINIMA))
     bands = [F.xxhash64(F.lit(b), *(MINIMA[j] for j in band_positions(b))) for b in range(BANDS)]
-    return signed.select("key", F.expr(sketch).alias("sketch"), F.array(*bands).alias("bands"))
+    return signed.select("key", F.expr(sketch).alias("sketch"), *(b.alias(name) for b, name in zip(bands, NAMES)))
 
 
 def _apart(left: str, right: str) -> Column:
@@ -92,32 +97,70 @@ def _apart(left: str, right: str) -> Column:
     return F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555)))
 
 
-def confirm(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach the similarity."""
-    needed = stage(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "needed")
+def _texts(keys: DataFrame, lines: DataFrame) -> DataFrame:
+    """(key, line) of some distinct keys."""
+    needed = stage(keys, "needed")
     bit = F.col("key").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1).cast("long"))
     bitmap = F.broadcast(needed.select(bit.alias("bit")).distinct())
     near = lines.select("key", "line").join(bitmap, bit == F.col("bit"), "left_semi").join(needed, "key", "left_semi")
-    texts = stage(near.groupBy("key").agg(F.first("line").alias("line")), "texts")
+    return stage(near.groupBy("key").agg(F.first("line").alias("line")), "texts")
+
+
+def _codes(u: str) -> str:
+    """The distinct hashes of the shingles of ``u``, a lambda variable or a field of one: so it is bound once."""
+    width = 4 * SHINGLE
+    return f"array_distinct(transform(sequence(1, greatest(length({u}) - {width - 1}, 1), 4), i -> xxhash64(substring({u}, i, {width}))))"
+
+
+def parities(keys: DataFrame, lines: DataFrame) -> DataFrame:
+    """(key, n, p0 to p15) of some distinct keys: the size of a line's shingle set, and which bits its shingles flip an odd number of times."""
+    codes = _texts(keys, lines).select("key", F.expr(f"transform(array(encode(lower(line), 'UTF-32')), u -> {_codes('u')})[0]").alias("codes"))
+    each = codes.select("key", F.size("codes").alias("n"), F.explode("codes").alias("h"))
+    flips = [F.expr(f"bit_xor(if((shiftrightunsigned(h, 6) & {len(PARITY) - 1}) = {k}, shiftleft(1L, cast(h & 63 as int)), 0L)) as {p}") for k, p in enumerate(PARITY)]
+    return each.groupBy("key").agg(F.max("n").alias("n"), *flips)
+
+
+def _could_reach(left: str, right: str, percent: int) -> Column:
+    """No pair of the similarity fails: parities differ in no more bits than the sets in shingles."""
+    flipped = F.lit(0)
+    for p in PARITY:
+        flipped = flipped + F.bit_count(F.col(f"{left}.{p}").bitwiseXOR(F.col(f"{right}.{p}")))
+    return flipped * (100 + percent) <= (F.col(f"{left}.n") + F.col(f"{right}.n")) * (100 - percent)
+
+
+def confirm(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets reach the similarity."""
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), lines)
     # What moves is the text, which is smaller than the codes of its shingles.
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("x")), "a")
     both = both.join(texts.select(F.col("key").alias("b"), F.col("line").alias("y")), "b")
-    width = 4 * SHINGLE
-    codes = lambda u: f"array_distinct(transform(sequence(1, greatest(length({u}) - {width - 1}, 1), 4), i -> xxhash64(substring({u}, i, {width}))))"
     both = both.select("a", "b", F.struct(_characters("x").alias("x"), _characters("y").alias("y")).alias("p"))
-    both = both.select("a", "b", F.expr(f"transform(array(p), p -> struct({codes('p.x')} as x, {codes('p.y')} as y))[0]").alias("p"))
+    both = both.select("a", "b", F.expr(f"transform(array(p), p -> struct({_codes('p.x')} as x, {_codes('p.y')} as y))[0]").alias("p"))
     shared = both.select("a", "b", (F.size("p.x") + F.size("p.y")).alias("sizes"), F.size(F.array_intersect("p.x", "p.y")).alias("shared"))
     return shared.where((100 + percent) * F.col("shared") >= percent * F.col("sizes")).select("a", "b")
 
 
+def _shared(signed: DataFrame, names: list[str]) -> DataFrame:
+    """(band, key, sketch, lo, lo_sketch): the lines of each bucket of some bands that holds several, and its smallest."""
+    bands = signed.select("key", "sketch", F.explode(F.array(*names)).alias("band"))
+    ends = bands.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.min_by("sketch", "key").alias("lo_sketch"))
+    return bands.join(ends.where("lo < hi").drop("hi"), "band")
+
+
+def _across(member: DataFrame, bound: Column | None = None) -> DataFrame:
+    """Pairs (a, b) of a bucket's lines that are of different components, each in the first band that both share."""
+    apart = F.expr("p.band = q.band and p.key < q.key and p.component <> q.component") & (_apart("p.sketch", "q.sketch") <= FAR)
+    first = F.coalesce(*(F.when(F.col(f"p.{b}") == F.col(f"q.{b}"), F.col(f"p.{b}")) for b in NAMES))
+    found = member.alias("p").join(member.alias("q"), apart & (F.col("p.band") == first) & (F.lit(True) if bound is None else bound))
+    return found.select(F.col("p.key").alias("a"), F.col("q.key").alias("b"))
+
+
 def near_lines(lines: DataFrame, percent: int = 80) -> DataFrame:
     """(node, component) of the distinct lines that have a near line; component is a line's hash. A staged table."""
     with staging(lines.sparkSession):
         signed = stage(signatures(lines), "signatures")
-        bands = signed.select("key", "sketch", F.explode("bands").alias("band"))
-        shared = bands.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.min_by("sketch", "key").alias("lo_sketch"))
-        hits = bands.join(shared.where("lo < hi").drop("hi"), "band")
-        hits = stage(hits, "hits")
+        found = [stage(_shared(signed, NAMES[k::PASSES]), "hits") for k in range(PASSES)]
+        hits = reduce(DataFrame.union, found)
 
         stars = hits.where("key <> lo").where(_apart("sketch", "lo_sketch") <= FAR).groupBy("key")
         stars = stars.agg(F.slice(F.array_sort(F.collect_set("lo")), 1, STARS).alias("ends"))
@@ -138,8 +181,14 @@ def near_lines(lines: DataFrame, percent: int = 80) -> DataFrame:
 
         member = spanning(named(member.select("band", "key", "sketch"), joined, "key"), "band", "key").drop("lo", "hi")
         member = stage(member, "open")
-        apart = F.expr("p.band = q.band and p.key < q.key and p.component <> q.component") & (_apart("p.sketch", "q.sketch") <= FAR)
-        across = member.alias("p").join(member.alias("q"), apart).select(F.col("p.key").alias("a"), F.col("q.key").alias("b")).distinct()
+        if member.isEmpty():
+            return outlive(joined)
+        member = stage(member.join(signed.drop("sketch"), "key"), "open")
+        across = _across(member.where(F.col("size") <= HOT_BUCKET))
+        hot = member.where(F.col("size") > HOT_BUCKET)
+        if not hot.isEmpty():
+            exact = parities(hot.select("key").distinct(), lines)
+            across = across.union(_across(stage(hot.join(exact, "key"), "hot"), _could_reach("p", "q", percent))).distinct()
         across = stage(across.join(stars.union(more), ["a", "b"], "left_anti"), "across")
         if across.isEmpty():
             return outlive(joined)
