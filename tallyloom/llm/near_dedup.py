@@ -15,8 +15,9 @@ sketches differ by more than the similarity allows are dropped without any loss.
 Sets too small to have a partner of another set (under four shingles at 80 percent) need no keys.
 Groups of many near copies cost no pairs within the group: each class is first linked to a
 few of its buckets' smallest classes; in buckets that still span components, to a class of
-another one; and what then still spans is joined, only across components and each pair once,
-in the first bucket that it shares, which loses no link between components. Buckets over HOT_BUCKET
+another one; and what then still spans is joined, only across components and under the bounds on sizes
+and parities, which loses no link between components. The join's condition has to stay small: beyond 8,000 bytes
+of generated code the JVM would interpret it. Buckets over HOT_BUCKET
 are refined by a second key from the other chunks, with up to two errors: complete by the
 same principle. Buckets are aggregated before they move and joined back, so a large one is split.
 
@@ -154,24 +155,17 @@ def _differing(left: str, right: str, c: int) -> Column:
     return (d.bitwiseAND(low) + low).bitwiseOR(d).bitwiseAND(high)
 
 
-def _near(left: str, right: str, percent: int) -> Column:
-    """Sizes that allow the similarity, and signatures within MAX_DISTANCE."""
+def _sizes(left: str, right: str, percent: int) -> Column:
+    """Sizes that allow the similarity."""
     n, m = F.col(f"{left}.n"), F.col(f"{right}.n")
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+
+def _distant(left: str, right: str) -> Column:
     distance = F.lit(0)
     for c in range(CHUNKS):
         distance = distance + F.bit_count(_differing(left, right, c))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (distance <= MAX_DISTANCE)
-
-
-def _first_key(left: str, right: str) -> Column:
-    """Whether the bucket of ``left.key`` is the first that both share."""
-    place = F.shiftright(f"{left}.key", CHUNK * SYMBOL_BITS)
-    found = F.lit(-1)
-    for c in reversed(range(CHUNKS)):
-        errors = F.bit_count(_differing(left, right, c))
-        chunk = place.between(c * CHUNK, c * CHUNK + CHUNK - 1)
-        found = F.when(errors == 0, F.when(place == c * CHUNK, 1).otherwise(0)).when(errors == 1, F.when(chunk, 1).otherwise(0)).otherwise(found)
-    return found == 1
+    return distance > MAX_DISTANCE
 
 
 def _parities(left: str, right: str, percent: int) -> Column:
@@ -260,7 +254,7 @@ def _linked(classes: DataFrame, docs: DataFrame, size: int, percent: int, id: st
     joined = components(links)
 
     member = spanning(named(member.select("key", "rep"), joined, "rep"), "key", "rep").drop("lo", "hi")
-    across = _across(stage(member.join(signed.drop(*PARITY), "rep"), "open"), percent)
+    across = _across(stage(member.join(signed, "rep"), "open"), percent)
     more = _confirmed(across, signed, docs, size, percent, id, text)
     return joined if more.isEmpty() else components(links.union(more))
 
@@ -270,18 +264,18 @@ def _across(member: DataFrame, percent: int) -> DataFrame:
     side = member.where(F.col("size") <= HOT_BUCKET)
     apart = F.expr("p.key = q.key and p.rep < q.rep and p.component <> q.component")
     pair = [F.col("p.rep").alias("a"), F.col("q.rep").alias("b")]
-    across = side.alias("p").join(side.alias("q"), apart & _near("p", "q", percent) & _first_key("p", "q")).select(*pair)
+    across = side.alias("p").join(side.alias("q"), apart & _sizes("p", "q", percent) & _parities("p", "q", percent)).select(*pair).distinct()
     hot = member.where(F.col("size") > HOT_BUCKET)
     if hot.isEmpty():
         return across
-    finer = stage(_refined(hot), "refined")
+    finer = stage(_refined(hot), "refined")  # slim rows, as there are many: their pairs are pruned later
     return across.union(finer.alias("p").join(finer.alias("q"), apart).select(*pair)).distinct()
 
 
 def _confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, size: int, percent: int, id: str, text: str) -> DataFrame:
     """The links among ``pairs``: pruned by signatures and parities, which lose none, then confirmed."""
     both = pairs.join(signed.alias("p"), F.col("a") == F.col("p.rep")).join(signed.alias("q"), F.col("b") == F.col("q.rep"))
-    both = stage(both.where(_near("p", "q", percent)).where(_parities("p", "q", percent)).select("a", "b"), "pairs")
+    both = stage(both.where(_sizes("p", "q", percent) & _parities("p", "q", percent) & ~_distant("p", "q")).select("a", "b"), "pairs")
     links = stage(confirm(both, docs, size, percent, id, text), "links")
     unstage(both)
     return links
