@@ -95,6 +95,18 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def arrow(df: DataFrame) -> DataFrame:
+    """``df``, in whose session Arrow batches have at most BATCH_ROWS rows unless it names a number itself: whole
+    texts are in a batch, so Spark's 10,000 rows would cost each worker and its JVM side ten times the memory."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH) == "10000":
+        conf.set(BATCH, str(BATCH_ROWS))
+    return df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

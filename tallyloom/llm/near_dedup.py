@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import outlive, row_slices, stage, staging, text_buffers, unstage
+from .common import arrow, outlive, row_slices, stage, staging, text_buffers, unstage
 from .components import components, far_end, named, spanning
 from .words import SLICE_BYTES, mix, shingles, words
 
@@ -111,7 +111,7 @@ def sets(docs: DataFrame, size: int, id: str = "doc_id", text: str = "text") ->
                 )
 
     source = docs.select(F.col(id).cast("long").alias("__id"), F.col(text).alias("__text"))
-    return source.mapInArrow(run, "id long, n long, a long, b long, " + ", ".join(f"{s} long" for s in SIGNATURE + PARITY))
+    return arrow(source).mapInArrow(run, "id long, n long, a long, b long, " + ", ".join(f"{s} long" for s in SIGNATURE + PARITY))
 
 
 def bucket_keys(classes: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id: str,
                 keep = pa.array((100 * shared >= percent * union) & (shared > 0))
                 yield part.select(["a", "b"]).filter(keep)
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return arrow(both).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(

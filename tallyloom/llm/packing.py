@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_buffers
+from .common import arrow, text_buffers
 
 WINDOW_PIECES, WINDOW_TOKENS = 16_384, 8 << 20
 PAD, EOS, FIRST_BYTE = 0, 1, 2
@@ -155,7 +155,7 @@ def pack(docs: DataFrame, size: int = 8192, ids: str | None = None, text: str =
         names = pa.concat_arrays([h[2] for h in held])
         return _packed(values, offsets, names, size, np.dtype("<u4" if ids else "<u2"), prefix, made)
 
-    return source.mapInArrow(run, SCHEMA)
+    return arrow(source).mapInArrow(run, SCHEMA)
 
 
 def _with_end(batch: pa.RecordBatch, tokens: bool) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:

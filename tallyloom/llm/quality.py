@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import text_buffers
+from .common import arrow, text_buffers
 
 WIDTH, FILTERS, CHUNK, STRIDE = 6, 24, 256, 224
 FEATURES = 2 * FILTERS + 2
@@ -164,4 +164,4 @@ def score(docs: DataFrame, net: Network, text: str = "text", score: str = "score
             values = shared.value.scores(*text_buffers(batch.column(text)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*batch.schema.names, score])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
+    return arrow(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import arrow
+
 SPACE = "▁"
 # Piece types and model types of the file format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -55,17 +57,22 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
         at += size
 
 
-def read_model(path: str) -> tuple[list[tuple[str, float, int]], int]:
-    """Pieces as (text, score, type) in id order, and the model's type."""
-    pieces, kind = [], UNIGRAM
+def model_bytes(path: str) -> bytes:
+    """A model file, which only the driver has to reach."""
     with open(path, "rb") as file:
-        for number, value in _fields(file.read()):
-            if number == 1:
-                piece = dict(_fields(value))
-                score = struct.unpack("<f", piece[2])[0] if 2 in piece else 0.0
-                pieces.append((piece[1].decode(), score, piece.get(3, NORMAL)))
-            elif number == 2:
-                kind = dict(_fields(value)).get(3, UNIGRAM)
+        return file.read()
+
+
+def read_model(model: str | bytes) -> tuple[list[tuple[str, float, int]], int]:
+    """Pieces as (text, score, type) in id order, and the model's type, of a file or its bytes."""
+    pieces, kind = [], UNIGRAM
+    for number, value in _fields(model_bytes(model) if isinstance(model, str) else model):
+        if number == 1:
+            piece = dict(_fields(value))
+            score = struct.unpack("<f", piece[2])[0] if 2 in piece else 0.0
+            pieces.append((piece[1].decode(), score, piece.get(3, NORMAL)))
+        elif number == 2:
+            kind = dict(_fields(value)).get(3, UNIGRAM)
     return pieces, kind
 
 
@@ -81,8 +88,8 @@ def log_probabilities(pieces: list[tuple[str, float, int]], kind: int) -> list[f
 class Codec:
     """Encoder and decoder of one model; made once in each Python worker."""
 
-    def __init__(self, path: str, dummy_prefix: bool = True):
-        pieces, kind = read_model(path)
+    def __init__(self, model: str | bytes, dummy_prefix: bool = True):
+        pieces, kind = read_model(model)
         scores = log_probabilities(pieces, kind)
         self.dummy_prefix = dummy_prefix
         self.bytes_of: list[bytes] = []
@@ -184,13 +191,13 @@ class _Kept(dict):
         return ids
 
 
-_codecs: dict[tuple[str, bool], Codec] = {}
+_codecs: dict[tuple[str | bytes, bool], Codec] = {}
 
 
-def codec(path: str, dummy_prefix: bool = True) -> Codec:
-    if (path, dummy_prefix) not in _codecs:
-        _codecs[path, dummy_prefix] = Codec(path, dummy_prefix)
-    return _codecs[path, dummy_prefix]
+def codec(model: str | bytes, dummy_prefix: bool = True) -> Codec:
+    if (model, dummy_prefix) not in _codecs:
+        _codecs[model, dummy_prefix] = Codec(model, dummy_prefix)
+    return _codecs[model, dummy_prefix]
 
 
 def encode(
@@ -206,12 +213,13 @@ def encode(
     whether decoding gave the text back. ``keep`` lists the columns to carry (all)."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (ids, verify)]  # new columns replace old ones
     source = docs.select(*keep, docs[text].alias("__text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model_bytes(model))  # of the vocabulary's size
     fields = [docs.schema[c] for c in keep] + [T.StructField(ids, T.ArrayType(T.IntegerType()))]
     if verify:
         fields.append(T.StructField(verify, T.BooleanType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model, dummy_prefix)
+        own = codec(shared.value, dummy_prefix)
         for batch in batches:
             for part in _parts(batch):
                 flat, same = [], []
@@ -231,21 +239,22 @@ def encode(
                 columns = [part.column(c) for c in keep] + [lists] + [pa.array(same, pa.bool_())] * bool(verify)
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, ids] + [verify] * bool(verify))
 
-    return source.mapInArrow(run, T.StructType(fields))
+    return arrow(source).mapInArrow(run, T.StructType(fields))
 
 
 def decode(table: DataFrame, model: str, ids: str = "ids", text: str = "decoded", dummy_prefix: bool = True) -> DataFrame:
     """``table`` with the texts of ``ids`` in the column ``text``; null ids give null."""
     table = table.select(*(f"`{c}`" for c in table.columns if c != text))
     schema = T.StructType([*table.schema.fields, T.StructField(text, T.StringType())])
+    shared = table.sparkSession.sparkContext.broadcast(model_bytes(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model, dummy_prefix)
+        own = codec(shared.value, dummy_prefix)
         for batch in batches:
             texts = [None if x is None else own.decode(x) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
 
-    return table.mapInArrow(run, schema)
+    return arrow(table).mapInArrow(run, schema)
 
 
 def _parts(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import text_buffers
+from .common import arrow, text_buffers
 from .words import IS_LETTER, byte_codes, mix, words
 
 # Insulting words by theme, in English, Spanish, French and German.
@@ -294,4 +294,4 @@ def score(docs: DataFrame, classifier: Classifier, text: str = "text", score: st
             values = own.scores(reader, batch.column(text))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*batch.schema.names, score])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
+    return arrow(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))

@@ -12,7 +12,7 @@ import pyarrow as pa
 
 from .common import row_slices, text_buffers
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20_240_229)
 IS_WORD = np.ones(256, bool)
