@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import lines, mixing, near_dedup, quality, sentencepieces
-from tallyloom.llm.common import stage, table
+from tallyloom.llm.common import outlive, stage, staging, table, unstage
 from tallyloom.llm.queries import MIX, PIECES, domain, quality_network
 
 # Once through the corpus at most, nine tenths of its tokens: no document is repeated.
@@ -61,7 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other; a stage's input goes once its output is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), name)
+        with staging(spark):
+            docs = outlive(stage(function(spark, docs, sf_dir), name))
+        if before is not None:
+            unstage(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
