@@ -3,15 +3,16 @@
 A line's shingles are its runs of five characters, lower-cased, one at every character; a line of
 fewer characters is its own shingle. Each of POSITIONS minima orders the shingles' 64-bit
 hashes anew (by a rotation and an exclusive-or). Two lines of similarity s agree in a position with probability s; BANDS bands
-of ROWS positions, each position in two of them, make a pair of similarity 0.8 candidates with probability 0.97, of
-0.85 with 0.995, of 0.9 with 0.9996. Candidates are confirmed by the exact Jaccard similarity of
+of ROWS positions (the rows, columns and diagonals of a square, so two bands share one position at most) make a pair of
+similarity 0.8 candidates with probability 0.976, of 0.85 with 0.996, of 0.9 with 0.9998; lines that share only common
+shingles seldom meet. Candidates are confirmed by the exact Jaccard similarity of
 their shingle sets. Distributed union-find makes components, each of which keeps the first of its
 lines by (document, line number).
 
 Minima are taken before any shuffle: what moves is one signature for each distinct line of an input
-partition, never a text. Two bits of each position form a sketch that goes with a line's band keys, so
+partition, never a text. Two bits of SKETCHED positions form a sketch that goes with a line's band keys, so
 candidates that differ in more than FAR of them are dropped before any text is read (at similarity 0.8 a
-candidate does so with probability 4e-4). A bucket costs no pairs within a component: its lines are first linked to
+candidate does so with probability 2e-4). A bucket costs no pairs within a component: its lines are first linked to
 its smallest, then, where it still spans components, to a line of another one, and only what
 still spans is joined, across components, in large buckets under a bound that loses no pair: parities of the two shingle sets. Confirming reads only lines that pass a bitmap of at most
 2^BITMAP_BITS entries, which is broadcast. Buckets are aggregated before they move and joined back, so a
@@ -37,11 +38,13 @@ from .common import outlive, stage, staging
 from .components import components, far_end, named, spanning
 
 SHINGLE = 5  # characters
-ROWS, BANDS = 5, 12
-POSITIONS = ROWS * BANDS // 2
-FAR = 10  # of POSITIONS pairs of bits
+ROWS = 6
+BANDS = 3 * ROWS
+POSITIONS = ROWS * ROWS
+SKETCHED = 32  # positions of which two bits are in a sketch
+FAR = 11  # of SKETCHED
 STARS = 4  # ends of its buckets that a line is linked to at once
-HOT_BUCKET = 50  # lines, from which parities bound the pairs before they are joined
+HOT_BUCKET = 400  # lines; parities of a line cost as much as confirming some pairs, so smaller buckets do without
 PASSES = 3  # over the bands, so that a third of them moves at a time
 UNROLLED = 4  # shingles hashed in one row
 ROTATIONS = [0, 21, 42]  # of a hash's bits, so that orders of few shingles differ, too
@@ -54,9 +57,9 @@ _ORDERS = [_random.getrandbits(63) for _ in range(POSITIONS)]
 
 
 def band_positions(band: int) -> list[int]:
-    """Runs of positions for half of the bands; the others take one position of each run or nearly so."""
-    half = BANDS // 2
-    return [band * ROWS + k for k in range(ROWS)] if band < half else [band - half + k * half for k in range(ROWS)]
+    """The rows, the columns and the diagonals of a square of positions."""
+    kind, n = divmod(band, ROWS)
+    return [[n * ROWS + k, k * ROWS + n, k * ROWS + (n + k) % ROWS][kind] for k in range(ROWS)]
 
 
 def occurrences(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -71,7 +74,7 @@ def _characters(line: str) -> Column:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(key, sketch, b0 to b11) of each distinct line. All of it is idempotent: a line that occurs again changes nothing."""
+    """(key, sketch, b0 to b17) of each distinct line. All of it is idempotent: a line that occurs again changes nothing."""
     width = 4 * SHINGLE
     rows = lines.select("key", _characters("line").alias("u"))
     rows = rows.select("key", "u", F.greatest(F.length("u") - (width - 1), F.lit(1)).alias("last"))
@@ -86,7 +89,7 @@ def signatures(lines: DataFrame) -> DataFrame:
         least = "least(" + ", ".join(f"h{k}_{r} ^ {order}L" for k in range(UNROLLED)) + ")"
         found.append(F.expr(f"min(cast(shiftright({least}, 32) as int)) as {name}"))
     signed = rows.groupBy("key").agg(*found)
-    sketch = " | ".join(f"shiftleft(cast({name} & 3 as long), {2 * j})" for j, name in enumerate(MINIMA))
+    sketch = " | ".join(f"shiftleft(cast({name} & 3 as long), {2 * j})" for j, name in enumerate(MINIMA[:SKETCHED]))
     bands = [F.xxhash64(F.lit(b), *(MINIMA[j] for j in band_positions(b))) for b in range(BANDS)]
     return signed.select("key", F.expr(sketch).alias("sketch"), *(b.alias(name) for b, name in zip(bands, NAMES)))
 
