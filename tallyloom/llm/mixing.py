@@ -155,4 +155,5 @@ def select(docs: DataFrame, mix: Mix, copies: str = "copies", repeat: bool = Fal
     times = (F.col("__epochs") + F.coalesce(prefix, F.lit(False)).cast("long")).cast("int")
     if repeat:
         return taken.withColumn("__n", F.explode(F.sequence(F.lit(0), times))).where("__n > 0").select(*docs.columns)
-    return taken.withColumn(copies, times).where(F.col(copies) > 0).select(*docs.columns, copies)
+    kept = [c for c in docs.columns if c != copies]  # an older count gives way
+    return taken.withColumn(copies, times).where(F.col(copies) > 0).select(*kept, copies)
