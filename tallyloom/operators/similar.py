@@ -1,11 +1,13 @@
 """Similarity joins on a vectorised Indel scorer.
 
-The smaller side is taken in blocks of at most BLOCK rows, which bounds what is broadcast;
-within a block one pass of a bit-parallel LCS scores a text against all keys at once.
+The smaller side is taken in blocks of about BLOCK rows, which bounds what is broadcast.
+Within a block an upper bound from the characters that a text and a key share comes first;
+a bit-parallel LCS then scores a text against all keys that the bound leaves, in one pass.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import sort_tokens
+from ..staging import stage
 
 BLOCK = 50_000
+STEP = 256  # keys scored before the bound is asked again
 _WORD = 64
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -33,14 +37,31 @@ class Scorer:
                     self.masks[c] = np.zeros((self.blocks, len(keys)), np.uint64)
                 self.masks[c][at // _WORD, row] |= np.uint64(1 << (at % _WORD))
 
-    def ratios(self, text: str) -> np.ndarray:
-        rows = len(self.lengths)
-        v = np.full((self.blocks, rows), _ONES)
+        kind = np.uint16 if self.lengths.max(initial=0) < 1 << 16 else np.int64
+        self.counts = {c: np.bitwise_count(m).sum(axis=0, dtype=kind) for c, m in self.masks.items()}
+
+    def _share(self, common: np.ndarray, text: str, lengths: np.ndarray) -> np.ndarray:
+        total = lengths + len(text)
+        return np.where(total == 0, 100.0, 200.0 * common / np.maximum(total, 1))
+
+    def bounds(self, text: str) -> np.ndarray:
+        """What the ratio to each key cannot exceed: all shared characters, in whatever order."""
+        common = np.zeros(len(self.lengths), np.int64)
+        for c, n in Counter(text).items():
+            if c in self.counts:
+                common += np.minimum(self.counts[c], n)
+        return self._share(common, text, self.lengths)
+
+    def ratios(self, text: str, rows: np.ndarray | None = None) -> np.ndarray:
+        """The ratio to each key, or to those at ``rows``."""
+        lengths = self.lengths if rows is None else self.lengths[rows]
+        mine = {c: self.masks[c] if rows is None else self.masks[c][:, rows] for c in set(text) if c in self.masks}
+        v = np.full((self.blocks, len(lengths)), _ONES)
         for c in text:
-            m = self.masks.get(c)
+            m = mine.get(c)
             if m is None:
                 continue
-            carry = np.zeros(rows, np.uint64)
+            carry = np.zeros(len(lengths), np.uint64)
             for b in range(self.blocks):
                 u = v[b] & m[b]
                 total = v[b] + u
@@ -48,13 +69,43 @@ class Scorer:
                 total += carry
                 carry = (over | (total < carry)).astype(np.uint64)
                 v[b] = total | (v[b] & ~m[b])
-        matched = np.bitwise_count(~v).sum(axis=0, dtype=np.int64)
-        total = self.lengths + len(text)
-        return np.where(total == 0, 100.0, 200.0 * matched / np.maximum(total, 1))
+        return self._share(np.bitwise_count(~v).sum(axis=0, dtype=np.int64), text, lengths)
+
+    def best(self, text: str, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and ratios of the ``k`` best keys, ties to smaller ids."""
+        bounds = self.bounds(text)
+        n = min(len(bounds), max(STEP, k))
+        rows = np.argpartition(-bounds, n - 1)[:n] if n < len(bounds) else np.arange(n)
+        scores = self.ratios(text, rows)
+        open_ = np.ones(len(bounds), bool)
+        open_[rows] = False
+        while len(scores) >= k:
+            least = np.partition(scores, -k)[-k]
+            left = np.flatnonzero(open_ & (bounds >= least))  # equal ones too, for their ids
+            if not len(left):
+                break
+            if len(left) > STEP:
+                left = left[np.argpartition(-bounds[left], STEP - 1)[:STEP]]
+            open_[left] = False
+            rows, scores = np.concatenate([rows, left]), np.concatenate([scores, self.ratios(text, left)])
+        first = np.lexsort((ids[rows], -scores))[:k]
+        return rows[first], scores[first]
+
+    def reaching(self, text: str, cutoff: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and ratios of the keys whose ratio is ``cutoff`` or more."""
+        rows = np.flatnonzero(self.bounds(text) >= cutoff)
+        scores = self.ratios(text, rows)
+        return rows[scores >= cutoff], scores[scores >= cutoff]
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores: by their few bytes, adaptive execution would put costly rows into one task."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
 
 
 def _blocks(keys: DataFrame) -> Iterator[list]:
-    """Rows (id, key) by blocks; one block is on the driver at a time."""
+    """Rows (id, key) by blocks, dealt by a hash of the id; one block is on the driver at a time."""
     n = -(-keys.count() // BLOCK)
     for b in range(n):
         rows = keys.where(F.pmod(F.xxhash64("id"), F.lit(n)) == b).orderBy("id").collect()
@@ -65,6 +116,8 @@ def _blocks(keys: DataFrame) -> Iterator[list]:
 def _scored(texts: DataFrame, keys: DataFrame, choose) -> DataFrame | None:
     """(text, id, score) of the keys that ``choose`` takes, for each block."""
     out = None
+    if keys.count() > BLOCK:  # every block reads them
+        texts, keys = stage(texts, "texts"), stage(keys, "keys")
     for rows in _blocks(keys):
         shared = texts.sparkSession.sparkContext.broadcast(([r["id"] for r in rows], [r["key"] for r in rows]))
 
@@ -74,11 +127,10 @@ def _scored(texts: DataFrame, keys: DataFrame, choose) -> DataFrame | None:
             for batch in batches:
                 text, found, scores = [], [], []
                 for original, scored in zip(batch.column("text").to_pylist(), batch.column("scored").to_pylist()):
-                    ratios = scorer.ratios(scored)
-                    taken = choose(ratios, ids)
+                    taken, ratios = choose(scorer, scored, ids)
                     text += [original] * len(taken)
                     found.append(ids[taken])
-                    scores.append(ratios[taken])
+                    scores.append(ratios)
                 if text:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(text, pa.string()), pa.array(np.concatenate(found)), pa.array(np.concatenate(scores))],
@@ -99,17 +151,10 @@ def top_k(texts: DataFrame, keys: DataFrame, k: int) -> DataFrame:
 
     ``texts`` has the column text; ``keys`` has id and key.
     """
-    texts = texts.where("text is not null").distinct().withColumn("scored", sort_tokens(F.col("text")))
+    texts = spread(texts.where("text is not null").distinct()).withColumn("scored", sort_tokens(F.col("text")))
     keys = keys.select(F.col("id").cast("long").alias("id"), sort_tokens(F.col("key")).alias("key"))
 
-    def best(ratios: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        if len(ratios) <= k:
-            return np.arange(len(ratios))
-        least = np.partition(ratios, -k)[-k]
-        maybe = np.flatnonzero(ratios >= least)
-        return maybe[np.lexsort((ids[maybe], -ratios[maybe]))[:k]]
-
-    found = _scored(texts, keys, best)
+    found = _scored(texts, keys, lambda scorer, text, ids: scorer.best(text, ids, k))
     if found is None:
         return _empty(texts)
     rank = F.row_number().over(Window.partitionBy("text").orderBy(F.desc("score"), "id"))
@@ -118,6 +163,6 @@ def top_k(texts: DataFrame, keys: DataFrame, k: int) -> DataFrame:
 
 def at_least(texts: DataFrame, keys: DataFrame, cutoff: float) -> DataFrame:
     """(text, id, score): the keys whose ratio to a distinct text reaches ``cutoff``."""
-    texts = texts.where("text is not null").distinct().withColumn("scored", F.col("text"))
-    found = _scored(texts, keys.select(F.col("id").cast("long").alias("id"), "key"), lambda ratios, ids: np.flatnonzero(ratios >= cutoff))
+    texts = spread(texts.where("text is not null").distinct()).withColumn("scored", F.col("text"))
+    found = _scored(texts, keys.select(F.col("id").cast("long").alias("id"), "key"), lambda scorer, text, ids: scorer.reaching(text, cutoff))
     return _empty(texts) if found is None else found

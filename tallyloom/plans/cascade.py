@@ -34,7 +34,7 @@ class Dimensions:
 
 def candidates(texts: DataFrame) -> DataFrame:
     """(text, core_text, candidate) of texts (text)."""
-    cleaned = texts.withColumn("c", clean_line(F.col("text")))
+    cleaned = similar.spread(texts).withColumn("c", clean_line(F.col("text")))
     core = F.col("c.core_text")
     return cleaned.select("text", core.alias("core_text"), candidate(core, F.col("c.extracted_units_ar"), is_arabic(core)).alias("candidate"))
 
@@ -50,8 +50,8 @@ def rank(queries: DataFrame, features: DataFrame, config: MatchConfig = MatchCon
     )
     rows = best.join(features, F.col("id") == F.col("idx")).join(asked, "candidate")
     ok = lookups.guards(F.col("q_numbers"), F.col("numbers"), F.col("q_form"), F.col("form"), F.col("q_anchor"), F.col("anchor"), config.anchor_ratio)
-    row = F.struct((-F.col("score")).alias("order"), "idx", "score", "name", "code", "price", ok.alias("ok"))
-    return rows.groupBy("candidate").agg(F.array_sort(F.collect_list(row)).alias("ranked"))  # 72 rows at most
+    row = F.struct((-F.col("score")).alias("order"), "idx", "score", "name", "code", "price", "ok")
+    return rows.withColumn("ok", ok).groupBy("candidate").agg(F.array_sort(F.collect_list(row)).alias("ranked"))  # 72 rows at most
 
 
 def match(lines: DataFrame, dims: Dimensions, config: MatchConfig = MatchConfig()) -> DataFrame:
