@@ -62,6 +62,21 @@ def test_held_out_accuracy(spark, name, label, modulus, rest, least):
     rows = QUERIES[name](spark, SF).join(labels, "doc_id").where("held_out").select("score", "predicted", label).toPandas()
     assert len(rows) > 50 and ((rows["score"] >= 0) & (rows["score"] <= 1)).all()
     assert (rows["predicted"] == rows[label]).mean() >= least
+    ones, zeros = (rows.loc[rows[label] == v, "score"].to_numpy() for v in (1, 0))
+    assert (ones[:, None] > zeros[None, :]).mean() > 0.9  # always answering 0 would give 0
+
+
+def test_one_of_near_copies_counts_whatever_texts_begin_with():
+    rng = random.Random(5)
+    words = [f"w{''.join(rng.choices('abcdefgh', k=6))}" for _ in range(400)]
+    beginning = " ".join(words[:20])  # over 80 characters
+    toxic = [f"{beginning} {' '.join(rng.sample(words[20:], 30))} zzfoe" for _ in range(8)]
+    clean = [f"{beginning} {' '.join(rng.sample(words[20:], 30))}" for _ in range(300)]
+    copies = [" ".join(words[30:60]) + " onlycopied"] * 50
+    labels = np.array([1] * 8 + [0] * 300 + [1] * 50)
+    learned = toxicity.learn_words(pa.array(toxic + clean + copies), labels)
+    code = lambda w: toxicity._codes([w])[0]
+    assert code("zzfoe") in learned and code("onlycopied") not in learned
 
 
 @pytest.mark.parametrize("module", [toxicity, quality])
