@@ -6,20 +6,26 @@ offset and length; an inner node hashes up to FAN_OUT children in order and cove
 offset range. The audit compares the roots of two replicas and descends only below nodes
 that differ, so what it compares grows with the corruption and not with the archive.
 
-Defined results: a null url or html is written as empty; rows without an id go to the file
-"none". Repeated rows are records of their own. A record is reported as corrupt (digest
+Defined results: a null url or html is written as empty; rows without an id go to
+NO_ID_FILES files "none-...", dealt by a hash. Line ends in a url are written as %0D and %0A.
+Repeated rows are records of their own. A record is reported as corrupt (digest
 differs), moved (same digest, other range), missing or extra. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import arrow, stage
 
 FAN_OUT = 16
 RECORDS_PER_FILE = 1024
+NO_ID_FILES = 4096
 MARK = "WARC/1.0\r\n"
 END = "\r\n\r\n"
 
@@ -27,6 +33,7 @@ END = "\r\n\r\n"
 def record_text(id: Column, url: Column, html: Column, date: str = "1970-01-01T00:00:00Z") -> Column:
     """A record without the two line ends that follow it."""
     body = F.coalesce(html, F.lit(""))
+    url = F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     return F.concat(
         F.lit(MARK + "WARC-Type: resource\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")),
         F.lit("\r\nWARC-Record-ID: <urn:record:"), F.coalesce(id.cast("string"), F.lit("")),
@@ -38,7 +45,8 @@ def record_text(id: Column, url: Column, html: Column, date: str = "1970-01-01T0
 def records(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(warc_file, record_id, record) of each page."""
     number = F.floor(F.col(id) / F.lit(RECORDS_PER_FILE))
-    name = F.when(F.col(id).isNull(), "none").otherwise(F.format_string("part-%08d", number))
+    apart = F.pmod(F.xxhash64(url, html), F.lit(NO_ID_FILES))
+    name = F.when(F.col(id).isNull(), F.format_string("none-%04d", apart)).otherwise(F.format_string("part-%08d", number))
     return pages.select(name.alias("warc_file"), F.col(id).alias("record_id"), record_text(F.col(id), F.col(url), F.col(html)).alias("record"))
 
 
@@ -61,20 +69,68 @@ def write(records: DataFrame, path: str) -> None:
     rows.write.partitionBy("warc_file").option("lineSep", END).text(path)
 
 
+_FIELDS = {name: re.compile(rb"(?m)^" + name.encode() + rb": (.*?)\r?$") for name in ("WARC-Record-ID", "WARC-Target-URI", "Content-Length")}
+_ID = re.compile(rb"<urn:record:(-?\d+)>")
+
+
+def _split(data: bytes) -> Iterator[tuple[int, bytes, bytes, bool]]:
+    """(offset, head, body, complete) of each record. A body is as long as its head states, whatever
+    it quotes; where that does not lead to a record's end, it goes to the next record that begins after an end."""
+    at, mark, end = 0, MARK.encode(), END.encode()
+    while at < len(data):
+        stop = data.find(end, at)
+        head = data[at : stop if stop >= 0 else len(data)]
+        begin = stop + len(end) if stop >= 0 else len(data)
+        length = _FIELDS["Content-Length"].search(head)
+        close = begin + int(length[1]) if length and length[1].isdigit() else -1
+        complete = close >= begin and data[close : close + len(end)] == end and data[close + len(end) : close + len(end) + len(mark)] in (b"", mark)
+        if not complete:
+            following = data.find(end + mark, begin)
+            close = following if following >= 0 else max(begin, len(data) - (len(end) if data.endswith(end) else 0))
+        yield at, head, data[begin:close], complete
+        at = close + len(end)
+
+
+READ_SCHEMA = "warc_file string, record_id long, url string, html string, complete boolean, offset long, length long, digest string"
+
+
 def read(spark, path: str) -> DataFrame:
-    """(warc_file, record_id, url, html, complete) of files that ``write`` made; splittable.
+    """(warc_file, record_id, url, html, complete, offset, length, digest) of files that ``write`` made.
 
-    ``complete`` is false for a record whose content has not the length its header states.
+    A file, of RECORDS_PER_FILE records, is read as a whole and split by Content-Length. ``complete``
+    is false for a record whose content has not the length its header states. ``digest`` is of the
+    bytes as they are stored, headers included, so ``stored_layout`` sees a rotten header too.
     """
-    rows = spark.read.option("lineSep", MARK).text(path).where("value <> ''")
-    head, body = F.substring_index("value", END, 1), F.expr(f"substring(value, length(substring_index(value, '\\r\\n\\r\\n', 1)) + {len(END) + 1})")
-    field = lambda name: F.regexp_extract("head", f"(?m)^{name}: (.*?)\\r?$", 1)
-    rows = rows.select("warc_file", head.alias("head"), body.alias("rest"))
-    rows = rows.withColumn("html", F.expr(f"if(endswith(rest, '\\r\\n\\r\\n'), substring(rest, 1, length(rest) - {len(END)}), rest)"))
-    return rows.select(
-        "warc_file", F.regexp_extract(field("WARC-Record-ID"), "<urn:record:(.*)>", 1).try_cast("long").alias("record_id"),
-        field("WARC-Target-URI").alias("url"), "html", (F.octet_length("html") == field("Content-Length").try_cast("long")).alias("complete"),
-    )
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        fields = [f.split() for f in READ_SCHEMA.split(", ")]
+        kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+        schema = pa.schema([(name, kinds[kind]) for name, kind in fields])
+        for batch in batches:
+            for name, data in zip(batch.column("path"), batch.column("content")):
+                file = re.search(r"warc_file=([^/]*)", name.as_py())
+                found = []
+                for at, head, body, complete in _split(data.as_py()):
+                    said = {k: (m[1] if (m := p.search(head)) else b"") for k, p in _FIELDS.items()}
+                    id = _ID.search(said["WARC-Record-ID"])
+                    raw = head + END.encode() + body
+                    found.append((
+                        file and file[1], id and int(id[1]), said["WARC-Target-URI"].decode("utf-8", "replace"), body.decode("utf-8", "replace"),
+                        complete, at, len(raw) + len(END), hashlib.sha256(raw).hexdigest(),
+                    ))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
+
+    return arrow(files).mapInArrow(run, READ_SCHEMA)
+
+
+def stored_layout(read: DataFrame) -> DataFrame:
+    """The layout of files as ``read`` found them, to audit against the one they were written by."""
+    order = Window.partitionBy("warc_file").orderBy("offset")
+    return read.select("warc_file", (F.row_number().over(order) - 1).cast("long").alias("n"), "record_id", "digest", "offset", "length")
 
 
 def levels_of(*layouts: DataFrame) -> int:

@@ -128,3 +128,31 @@ def test_audit_finds_all_that_differs(spark, monkeypatch):
     got = {(r.record_id, r.status) for r in warc.audit(original, warc.layout(warc.records(pages(spark, longer)))).collect()}
     assert got == {(38, "corrupt"), (39, "moved"), (41, "extra")}
     assert warc.audit(warc.layout(warc.records(pages(spark).where("false"))), original).where("status = 'extra'").count() == len(PAGES)
+
+
+def test_records_that_quote_a_record_and_line_ends_in_urls(spark, tmp_path):
+    quoting = "a\r\n\r\nWARC/1.0\r\nContent-Length: 3\r\n\r\nxyz\r\n\r\n"
+    rows = [(1, "http://h/1", quoting), (2, "http://h/2\r\nContent-Length: 1", "é" * 5), (3, "u", ""), (None, "u", quoting), (None, "v", "y")]
+    records = warc.records(pages(spark, rows))
+    warc.write(records, str(tmp_path / "w"))
+    found = warc.read(spark, str(tmp_path / "w"))
+    back = {(r.record_id, r.url, r.html, r.complete) for r in found.collect()}
+    assert back == {(i, u.replace("\r", "%0D").replace("\n", "%0A"), h, True) for i, u, h in rows}
+    assert warc.audit(warc.layout(records), warc.stored_layout(found)).count() == 0
+
+
+def test_stored_files_are_audited(spark, tmp_path):
+    records = warc.records(pages(spark))
+    folder = tmp_path / "w"
+    warc.write(records, str(folder))
+    (file,) = (folder / "warc_file=part-00000000").glob("part-*")
+    data = file.read_bytes()
+    rotten = data.replace(b"http://h/7\r", b"http://h/X\r").replace(b"<p>page 9</p>", b"<p>page</p>")
+    assert rotten != data
+    file.write_bytes(rotten)
+    (folder / "warc_file=part-00000000" / f".{file.name}.crc").unlink(missing_ok=True)
+    found = warc.read(spark, str(folder))
+    assert [r.record_id for r in found.where("not complete").collect()] == [9]
+    status = {r.record_id: r.status for r in warc.audit(warc.layout(records), warc.stored_layout(found)).collect()}
+    assert status[7] == "corrupt" and status[9] == "corrupt"
+    assert set(status) == {7, 9} | set(range(10, 40)) and all(status[i] == "moved" for i in range(10, 40))
