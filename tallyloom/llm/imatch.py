@@ -27,6 +27,9 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +41,8 @@ ENOUGH = 4
 MAX_BROADCAST = 2_000_000
 FEW = 4  # a text has few band terms if they are under one in FEW of its frequent enough ones
 RAREST = 64
-BUCKETS_LEVEL = 16  # squared: ranges of ids
+LEAST_LEVEL = 16  # squared: ranges of ids, at least
+RANGE_BYTES = 128 << 20
 
 
 def _shift(k: int) -> int:
@@ -90,15 +94,21 @@ def band(docs: DataFrame, text: str, low: float, high: float) -> DataFrame:
     return stage(inside.union(more), "lexicon")
 
 
-def _ranges(docs: DataFrame, key: Column) -> tuple[Column, Column]:
-    """The range of ids that ``key`` is in, by quantiles in two steps, and the quantiles."""
-    parts = BUCKETS_LEVEL**2
+def _level(rows: DataFrame) -> int:
+    """The root of how many ranges of ids hold about RANGE_BYTES of text each."""
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(LEAST_LEVEL, math.ceil(math.sqrt(size / RANGE_BYTES)))
+
+
+def _ranges(docs: DataFrame, key: Column, level: int) -> Column:
+    """The range of ids that ``key`` is in, by quantiles in two steps. The quantiles (eight bytes a range) are one literal."""
+    parts = level**2
     shares = [i / parts for i in range(1, parts)]
-    bounds = docs.agg(F.percentile_approx(key, shares, 10_000).alias("b")).first()["b"] or []
-    coarse = bounds[BUCKETS_LEVEL - 1 :: BUCKETS_LEVEL]
-    at = F.size(F.filter(F.array(*map(F.lit, coarse)).cast("array<bigint>"), lambda b: b <= key))
-    fine = F.slice(F.array(*map(F.lit, bounds)).cast("array<bigint>"), at * BUCKETS_LEVEL + 1, BUCKETS_LEVEL - 1)
-    return at * BUCKETS_LEVEL + F.size(F.filter(fine, lambda b: b <= key))
+    bounds = docs.agg(F.percentile_approx(key, shares, max(10_000, 4 * parts)).alias("b")).first()["b"] or []
+    literal = lambda values: F.from_json(F.lit(json.dumps(list(values))), "array<bigint>")
+    at = F.size(F.filter(literal(bounds[level - 1 :: level]), lambda b: b <= key))
+    fine = F.slice(literal(bounds), at * level + 1, level - 1)
+    return at * level + F.size(F.filter(fine, lambda b: b <= key))
 
 
 def beside_next(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -107,9 +117,9 @@ def beside_next(docs: DataFrame, id: str, text: str) -> DataFrame:
     stands for a neighbour bucket's document."""
     key = F.coalesce(F.col(id).cast("long"), F.lit(-(2**63)))
     rows = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"), key.alias("key"))
-    bucket = _ranges(rows, F.col("key"))
+    bucket = _ranges(rows, F.col("key"), _level(rows))
     lasts = rows.groupBy(bucket.alias("bucket")).agg(F.max("key").alias("key")).orderBy("bucket").collect()
-    target = {r["key"]: lasts[(i + 1) % len(lasts)]["bucket"] for i, r in enumerate(lasts)}  # one for each range
+    target = {r["key"]: lasts[(i + 1) % len(lasts)]["bucket"] for i, r in enumerate(lasts)}  # one for each range of RANGE_BYTES
     spark = docs.sparkSession
     ghosts = F.broadcast(spark.createDataFrame(list(target.items()), "last long, target int"))
     places = F.array(F.struct(bucket.alias("bucket"), F.lit(False).alias("ghost")), F.struct(F.col("target").alias("bucket"), F.lit(True).alias("ghost")))

@@ -165,3 +165,17 @@ def test_fingerprints_of_a_group_of_near_copies_above_the_band(spark):
     assert np.mean([r.near_next for r in group]) > 0.4
     assert not any(r.fingerprint.startswith("text:") for r in group)
     assert np.mean([r.near_next for i, r in rows.items() if i > 1001]) < 0.1
+
+
+def test_fingerprints_do_not_depend_on_ranges(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(rng.choice([i, i, -i, None]), rng.choice([" ".join(rng.choices(words, k=rng.randint(0, 40))), "same text", None])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shown = lambda: sorted(map(repr, imatch.fingerprints(docs, high=0.5).collect()))
+    want = shown()
+    monkeypatch.setattr(imatch, "RANGE_BYTES", 4)  # more ranges than the least
+    monkeypatch.setattr(imatch, "LEAST_LEVEL", 2)
+    assert imatch._level(docs) > 16 and shown() == want
+    monkeypatch.setattr(imatch, "MAX_BROADCAST", 0)
+    assert shown() == want
