@@ -494,3 +494,40 @@ def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _read(spark, sf_dir, "part").agg(F.count("*").alias("catalog_rows"))
     counted = lines.agg(F.count("*").alias("lines"), F.count_distinct("l_orderkey").alias("invoices"), F.count_if(F.col("l_quantity") > 45).alias("flagged"))
     return counted.join(F.broadcast(parts)).select("lines", "invoices", "catalog_rows", "flagged")  # one row each
+
+
+_on_lines("orphan_dot_strip", text.strip_orphan_dots, "regexp_replace(regexp_replace(text, '(^|[^0-9])\\.([^0-9]|$)', '\\1 \\2', 'g'), '(^|[^0-9])\\.([^0-9]|$)', '\\1 \\2', 'g')")
+
+
+@query("effective_name", """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber IN (1, 2) THEN l_linestatus ELSE l_returnflag END AS name FROM lineitem""")
+def effective_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first line's edit is null, the second's is empty; the suggestion stands for both."""
+    edited = F.when(F.col("l_linenumber") == 2, "").when(F.col("l_linenumber") > 2, F.col("l_returnflag"))
+    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", decide.effective_name(edited, F.col("l_linestatus")).alias("name"))
+
+
+@query("ignored_append", f"""WITH i AS (SELECT p_name AS item FROM part WHERE p_partkey % 2 = 0),
+    a AS (SELECT upper(p_name) AS item FROM part WHERE p_partkey % 2 = 1 UNION ALL SELECT p_brand || ' ' || p_type FROM part WHERE p_partkey % 2 = 1)
+    SELECT item FROM i UNION ALL SELECT min(item) FROM a WHERE lower({sql_collapse('item')}) NOT IN (SELECT lower({sql_collapse('item')}) FROM i) GROUP BY lower({sql_collapse('item')})""")
+def ignored_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even keys are the list; each odd one adds its name, in capitals, and its brand and type."""
+    part = _read(spark, sf_dir, "part")
+    items = part.where("p_partkey % 2 = 0").select(F.col("p_name").alias("item"))
+    actions = part.where("p_partkey % 2 = 1").select(F.upper("p_name").alias("raw"), F.concat_ws(" ", "p_brand", "p_type").alias("matched"))
+    return merges.append_ignored(items, actions)
+
+
+@query("missing_log_scan", """SELECT CAST(p_partkey AS VARCHAR) AS recorded_at, '' AS party, '' AS invoice, p_name AS original_text, p_brand AS suggested,
+    CAST(p_size AS VARCHAR) AS invoice_price, '' AS quantity FROM part""")
+def missing_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log without three of its columns."""
+    names = {"p_partkey": "recorded_at", "p_name": "original_text", "p_brand": "suggested", "p_size": "invoice_price"}
+    part = _read(spark, sf_dir, "part")
+    return tables.missing_log(part.select(*(F.col(c).alias(tables.MISSING_HEADERS[n][0]) for c, n in names.items())))
+
+
+@query("missing_truncate", "SELECT count(*) AS held, CAST(0 AS BIGINT) AS remaining FROM part")
+def missing_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _read(spark, sf_dir, "part")
+    left = merges.truncated(part).agg(F.count("*").alias("remaining"))
+    return part.agg(F.count("*").alias("held")).join(F.broadcast(left))  # one row each
