@@ -89,7 +89,8 @@ def band(docs: DataFrame, text: str, low: float, high: float) -> DataFrame:
         return inside
     rarest = above.agg(F.transform(F.array_sort(F.collect_list(F.struct("count", "code"))), lambda c: c["code"]).alias("above"))
     wanted = F.slice(F.array_intersect("above", "codes"), 1, RAREST)
-    more = rows.join(bare, "t", "left_semi").crossJoin(F.broadcast(rarest)).select(F.explode(wanted).alias("code")).distinct()
+    more = rows.join(bare, "t", "left_semi").crossJoin(F.broadcast(rarest)).select(wanted.alias("wanted")).distinct()
+    more = more.select(F.explode("wanted").alias("code")).distinct()  # near copies share most of their lists
     return stage(inside.union(more), "lexicon")
 
 
