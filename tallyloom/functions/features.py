@@ -35,11 +35,12 @@ def core_tokens(name: Column, filler: list[str] | None = None) -> Column:
     """Tokens that are neither filler nor numbers; all tokens if none are left."""
     words = F.array(*map(F.lit, FILLER_WORDS if filler is None else filler))
 
-    def core_of(every: Column) -> Column:
+    def both(every: Column) -> Column:
         core = F.filter(every, lambda t: ~F.array_contains(words, t) & ~t.rlike(r"(?U)^\d+$"))
-        return let(core, lambda c: F.when(F.size(c) > 0, c).otherwise(every))
+        return F.struct(every.alias("every"), core.alias("core"))
 
-    return let(tokens(name), core_of)
+    # One let after the other: an inner lambda that names an outer one's variable cannot be a Python function's argument.
+    return let(let(tokens(name), both), lambda x: F.when(F.size(x["core"]) > 0, x["core"]).otherwise(x["every"]))
 
 
 def numbers(text: Column) -> Column:
