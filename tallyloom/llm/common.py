@@ -1,100 +1,19 @@
-"""Shared plumbing: shared-folder staging, table access and Arrow text buffers."""
+"""Shared plumbing: table access and Arrow text buffers; staging is the package's own."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import CLEANUP, checkpoint_dir, outlive, stage, staging, unstage  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder every executor shares. Where none is set, a private one in local mode; a cluster must name one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        named = tempfile.mkdtemp(prefix="tallyloom-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_scopes: list[list[str]] = []
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back: lineage ends here.
-
-    The reader gets the writer's schema, so an empty table keeps its columns. The write's shuffle
-    files go with its end. Inside ``staging`` the table is deleted at the scope's end.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    if _scopes:
-        _scopes[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def staging(spark: SparkSession) -> Iterator[None]:
-    """Tables staged inside are deleted at the end, but for those given to ``outlive``."""
-    made: list[str] = []
-    _scopes.append(made)
-    try:
-        yield
-    finally:
-        _scopes.remove(made)
-        for path in made:
-            _delete(spark, path)
-
-
-def outlive(df: DataFrame) -> DataFrame:
-    """Keep a staged table beyond the innermost scope: the one around it, if any, deletes it."""
-    for path in _folders(df):
-        for depth, made in enumerate(_scopes):
-            if path in made:
-                made.remove(path)
-                if depth:
-                    _scopes[depth - 1].append(path)
-    return df
-
-
-def unstage(df: DataFrame) -> None:
-    """Delete the files of a staged table that no later step reads."""
-    for path in _folders(df):
-        _delete(df.sparkSession, path)
-        for made in _scopes:
-            if path in made:
-                made.remove(path)
-
-
-def _folders(df: DataFrame) -> set[str]:
-    """The staged folders that ``df`` reads, as they were named when written."""
-    names = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for f in df.inputFiles() if "/tallyloom/" in f}
-    return {f"{checkpoint_dir(df.sparkSession)}/tallyloom/{name}" for name in names}
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 

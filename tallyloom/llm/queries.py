@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import imatch, labelled, lines, mixing, near_dedup, packing, quality, sentencepieces, topk, toxicity, warc
+from . import imatch, kmeans, labelled, lines, mixing, near_dedup, packing, quality, sentencepieces, topk, toxicity, urls, warc, whitening
 from .common import crc32_mod, stage, table
 
 TOKENIZERS = os.environ.get("TALLYLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -102,6 +102,39 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.filter_pages(table(spark, sf_dir, "pages"), urls.rules(spark, URL_RULES))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.report(kmeans.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10), spark)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Lloyd's rounds, one after the other: c0 the first centroids, a0 their clusters, c1 the next ones and so on."""
+    parts = []
+    for t in range(rounds + 1):
+        parts.append(f"""a{t} AS MATERIALIZED (
+            SELECT row, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+                SELECT v.row, m.c, list_sum(list_transform(list_zip(v.x, m.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{t} m)
+            GROUP BY row)""")
+        if t < rounds:
+            parts.append(f"""s{t} AS (
+                SELECT c, i, sum(e)::HUGEINT AS s, count(*) AS n FROM (SELECT a.c, unnest(v.x) AS e, unnest(range(len(v.x))) AS i FROM a{t} a JOIN v USING (row)) GROUP BY c, i)""")
+            parts.append(f"""c{t + 1} AS MATERIALIZED (
+                SELECT c.c, coalesce(n.x, c.x) AS x FROM c{t} c LEFT JOIN (
+                    SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM s{t} GROUP BY c) n USING (c))""")
+    return ", ".join(parts)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
@@ -113,6 +146,9 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_token_packing": op9_token_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_url_filters": op11_url_filters,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -128,4 +164,23 @@ ORACLE_SQL: dict[str, str] = {
             FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    # The rules alone: no page of the given tables links to another as its canonical url, and the tests hold what links do against brute force.
+    "op11_url_filters": """
+        WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                          regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+        r(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow'))
+        SELECT page_id, host, path, arg_max(h || p, length(h || p)) AS rule, coalesce(arg_max(v, length(h || p)), 'allow') AS verdict
+        FROM (SELECT *, row_number() OVER () AS row FROM u) LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+        GROUP BY row, page_id, host, path""",
+    "op12_centroid_clustering": f"""
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+            FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, x) - 1 AS INTEGER) AS c, x FROM (
+            SELECT sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, x FROM v ORDER BY h, x LIMIT 8)),
+        {_rounds_sql(10)},
+        t AS (SELECT c, CAST(sum(d) AS BIGINT) AS cluster_inertia FROM a10 GROUP BY c)
+        SELECT vec_id, a.c AS cluster, a.d AS distance, t.cluster_inertia, (SELECT CAST(sum(d) AS BIGINT) FROM a10) AS inertia,
+               sha256(array_to_string(m.x, ',')) AS centroid_sha256
+        FROM a10 a JOIN v USING (row) JOIN t USING (c) JOIN c10 m USING (c)""",
 }
