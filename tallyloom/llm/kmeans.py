@@ -247,7 +247,7 @@ class Clusters:
     rows: DataFrame
     centroids: np.ndarray
     inertia: list[int]
-    scanned: list[int]
+    bounds: list[int]  # kept in each round
 
 
 def cluster(
