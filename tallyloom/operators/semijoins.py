@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import MatchConfig
 from ..functions.features import core_tokens
 from ..functions.text import key_lower, strip
+from ..staging import outlive, stage, staging
 from .similar import at_least, top_k
 
 
@@ -35,18 +36,38 @@ def controlled_entries(rows: DataFrame, heading: str = "اسم الصنف", titl
 
 
 def controlled(texts: DataFrame, entries: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
-    """The distinct texts (column text) that have, for every word of some entry, a word like it."""
+    """The distinct texts (column text) that have, for every word of some entry, a word like it.
+
+    Words are compared once, as a dictionary. A text meets an entry only through the entry's rarest word, the one
+    with a like word in the fewest texts, and is then asked for the entry's other words; so a word that many
+    texts and entries share brings no pairs of them together, unless an entry has no rarer one.
+    """
     items = texts.where("text is not null and text <> ''").distinct()
-    words = items.select("text", F.explode(F.array_distinct(core_tokens(F.col("text")))).alias("word"))
-    listed = entries.select("entry", F.size("words").alias("n"), F.explode("words").alias("listed"))
-    keys = _numbered(listed, "listed")
-    alike = at_least(words.select(F.col("word").alias("text")), keys, config.controlled_ratio)
-    alike = alike.join(keys, "id").select(F.col("text").alias("word"), F.col("key").alias("listed"))
-    met = words.join(alike, "word").join(listed, "listed").groupBy("text", "entry", "n")
-    return met.agg(F.count_distinct("listed").alias("met")).where("met = n").select("text").distinct()
+    with staging(texts.sparkSession):
+        words = stage(items.select("text", F.explode(F.array_distinct(core_tokens(F.col("text")))).alias("word")), "words")
+        listed = stage(entries.where(F.size("words") > 0).select("entry", F.size("words").alias("n"), F.explode("words").alias("listed")), "listed")
+        keys = _numbered(listed, "listed")
+        alike = at_least(words.select(F.col("word").alias("text")), keys, config.controlled_ratio)
+        alike = alike.join(keys, "id").select(F.col("text").alias("word"), F.col("key").alias("listed"))
+        has = stage(words.join(alike, "word").select("text", "listed").distinct(), "has")
+        seen = has.groupBy("listed").agg(F.count("*").alias("texts"))
+        probe = listed.join(seen, "listed", "left").groupBy("entry", "n").agg(  # null for a word that no text has: no text meets the entry
+            F.min_by("listed", F.struct(F.coalesce("texts", F.lit(0)), "listed")).alias("listed")
+        )
+        met = has.join(probe, "listed").select("text", "entry", "n")
+        every = met.join(listed.select("entry", "listed"), "entry").join(has, ["text", "listed"], "left_semi")
+        full = every.groupBy("text", "entry", "n").agg(F.count("*").alias("met")).where("met = n")
+        return outlive(stage(full.select("text").distinct(), "controlled"))
+
+
+# What a code in a header looks like, and how far after "to:" it may stand.
+CODE = r"[A-Za-z][A-Za-z0-9\-]*(?:/[A-Za-z0-9\-]+){1,2}"
+REACH = 250
 
 
-CODE = r"[A-Za-z][A-Za-z0-9\-]*(?:/[A-Za-z0-9\-]+){1,2}"
+def _runs(text, pattern: str):
+    """Every run of a pattern in a text."""
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
 def resolve_party(headers: DataFrame, directory: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
@@ -55,32 +76,52 @@ def resolve_party(headers: DataFrame, directory: DataFrame, config: MatchConfig
     Tiers: a full code within the header, the longest first; a first segment that only one
     party has, as a word; the code after ``to:`` that is nearest; the bare code, unmatched.
     ``directory`` has pos, code, name.
+
+    A code is found by equi-joins and never by asking each header for each code: by a slice of the header at the
+    code's length where the code's first few characters are (a code may stand within a longer run), and a first segment
+    by the words that the header is cut into.
     """
     texts = headers.select("header").distinct()
-    told = texts.where(strip(F.coalesce("header", F.lit(""))) != "")
-    codes = directory.select("pos", "name", F.col("code"), key_lower(F.col("code")).alias("full"))
-    codes = codes.withColumn("short", F.substring_index("full", "/", 1))
-    alone = codes.groupBy("short").agg(F.count_distinct("name").alias("n"), F.min("pos").alias("pos")).where("n = 1")
-    alone = alone.join(codes.select("pos", "name"), "pos").select("short", "pos", "name")
-
-    low = F.lower("header")
-    first = told.join(codes, F.contains(low, F.col("full"))).groupBy("header")
-    first = first.agg(F.min_by("name", F.struct(-F.length("code"), "pos")).alias("name")).withColumn("tier", F.lit(1))
-    bounded = F.expr(r"header rlike concat('(?i)(?<![A-Za-z0-9])\\Q', short, '\\E(?![A-Za-z0-9])')")
-    second = told.join(alone, bounded).groupBy("header").agg(F.min_by("name", "pos").alias("name")).withColumn("tier", F.lit(2))
-
-    at = F.instr(low, "to:")
-    region = F.when(at > 0, F.substring("header", at, F.lit(250))).otherwise(F.col("header"))
-    found = told.select("header", F.regexp_extract(region, CODE, 0).alias("token"))
-    near = top_k(found.where("token <> ''").select(F.col("token").alias("text")), codes.select(F.col("pos").alias("id"), F.col("code").alias("key")), 1)
-    near = near.where(F.col("score") >= config.party_ratio).join(codes.select(F.col("pos").alias("id"), "full"), "id")
-    of_code = codes.groupBy("full").agg(F.max_by("name", "pos").alias("name"))
-    near = near.join(of_code, "full").select(F.col("text").alias("token"), "name")
-    third = found.join(near, "token").select("header", "name", F.lit(3).alias("tier"))
-
-    hits = first.union(second.select("header", "name", "tier")).union(third)
-    best = hits.groupBy("header").agg(F.min_by("name", "tier").alias("name"), F.min("tier").alias("tier"))
-    out = texts.join(best, "header", "left").join(found, "header", "left")
-    return out.select(
-        "header", F.coalesce("name", "token", F.lit("")).alias("party"), F.col("name").isNotNull().alias("matched"), F.coalesce("tier", F.lit(4)).alias("tier")
-    )
+    with staging(headers.sparkSession):
+        told = stage(texts.where(strip(F.coalesce("header", F.lit(""))) != "").withColumn("low", F.lower("header")), "headers")
+        codes = directory.select("pos", "name", F.col("code"), key_lower(F.col("code")).alias("full"))
+        codes = stage(codes.where("full <> ''").withColumn("short", F.substring_index("full", "/", 1)), "codes")
+
+        # Every place of a header, by the characters that a code there begins with; then the whole code.
+        head = codes.agg(F.min(F.length("full"))).first()[0] or 1
+        head = min(head, 8)
+        lengths = codes.select(F.substring("full", 1, head).alias("begin"), F.length("full").alias("n")).groupBy("begin").agg(F.collect_set("n").alias("ns"))
+        starts = F.sequence(F.lit(1), F.greatest(F.length("low") - head + 1, F.lit(1)))
+        places = told.select("header", "low", F.explode(starts).alias("at")).withColumn("begin", F.substring("low", F.col("at"), F.lit(head)))
+        slices = places.join(lengths, "begin").select("header", "low", "at", F.explode("ns").alias("n"))
+        slices = slices.select("header", F.substring("low", F.col("at"), F.col("n")).alias("full")).distinct()
+        first = slices.join(codes, "full").groupBy("header").agg(F.min_by("name", F.struct(-F.length("code"), "pos")).alias("name")).withColumn("tier", F.lit(1))
+
+        alone = codes.groupBy("short").agg(F.count_distinct("name").alias("n"), F.min_by("name", "pos").alias("name"), F.min("pos").alias("pos")).where("n = 1")
+        alone = stage(alone.select("short", "name", "pos"), "alone")
+        plain = alone.where(~F.col("short").rlike("[^a-z0-9]"))
+        words = told.select("header", F.explode(F.array_distinct(_runs(F.col("low"), "[a-z0-9]+"))).alias("short"))
+        second = words.join(plain, "short")
+        # First segments with other characters span several words: they are looked for where their first word is.
+        odd = alone.where(F.col("short").rlike("[^a-z0-9]")).withColumn("word", F.regexp_extract("short", "[a-z0-9]+", 0))
+        within = F.expr(r"low rlike concat('(?<![a-z0-9])\\Q', replace(short, '\\E', ''), '\\E(?![a-z0-9])')")
+        spanning = words.select("header", F.col("short").alias("word")).join(odd.where("word <> ''"), "word").join(told, "header").where(within)
+        second = second.select("header", "name", "pos").union(spanning.select("header", "name", "pos"))
+        second = second.groupBy("header").agg(F.min_by("name", "pos").alias("name")).withColumn("tier", F.lit(2))
+
+        at = F.instr("low", "to:")
+        region = F.when(at > 0, F.substring("header", at, F.lit(REACH))).otherwise(F.col("header"))
+        found = stage(told.select("header", F.regexp_extract(region, CODE, 0).alias("token")), "tokens")
+        near = top_k(found.where("token <> ''").select(F.col("token").alias("text")), codes.select(F.col("pos").alias("id"), F.col("code").alias("key")), 1)
+        near = near.where(F.col("score") >= config.party_ratio).join(codes.select(F.col("pos").alias("id"), "full"), "id")
+        of_code = codes.groupBy("full").agg(F.max_by("name", "pos").alias("name"))
+        near = near.join(of_code, "full").select(F.col("text").alias("token"), "name")
+        third = found.join(near, "token").select("header", "name", F.lit(3).alias("tier"))
+
+        hits = first.select("header", "name", "tier").union(second.select("header", "name", "tier")).union(third)
+        best = hits.groupBy("header").agg(F.min_by("name", "tier").alias("name"), F.min("tier").alias("tier"))
+        out = texts.join(best, "header", "left").join(found, "header", "left")
+        out = out.select(
+            "header", F.coalesce("name", "token", F.lit("")).alias("party"), F.col("name").isNotNull().alias("matched"), F.coalesce("tier", F.lit(4)).alias("tier")
+        )
+        return outlive(stage(out, "parties"))

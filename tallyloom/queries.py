@@ -254,8 +254,8 @@ def token_sort_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("k", F.round(sim.token_sort_ratio(F.col("a"), F.col("b")), 4).alias("score"))
 
 
-# The fuzzy queries ask for every brand's first product with a letter dropped.
-ASKED = f"""(SELECT substr(name, 1, 3) || substr(name, 5) AS q FROM {CATALOG} JOIN (SELECT min(p_partkey) AS idx FROM part GROUP BY p_brand) USING (idx))"""
+# The fuzzy queries ask for the products whose id 20 divides, with a letter dropped, against every product.
+ASKED = f"""(SELECT substr(name, 1, 3) || substr(name, 5) AS q FROM {CATALOG} WHERE idx % 20 = 0)"""
 RANKED = f"""(WITH q AS (SELECT DISTINCT q, {sql_sorted('q')} AS a FROM {ASKED}), s AS (
     SELECT q, idx, name, code, price, {sql_ratio('a', 'b')} AS score FROM q, (SELECT *, {sql_sorted('name')} AS b FROM {CATALOG}))
     SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, idx) AS r FROM s QUALIFY r <= 8)"""
@@ -265,7 +265,7 @@ RANKED = f"""(WITH q AS (SELECT DISTINCT q, {sql_sorted('q')} AS a FROM {ASKED})
 def _asked(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     named = catalog(spark, sf_dir)
     if not whole:
-        named = named.join(_read(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("idx")), "idx")
+        named = named.where("idx % 20 = 0")
     return named.select(F.concat(F.substring("name", 1, 3), F.expr("substring(name, 5)")).alias("candidate")).distinct()
 
 
@@ -363,44 +363,61 @@ def match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.match(noisy(spark, sf_dir).drop("name"), dims, CONFIG)
 
 
-ITEMS = f"(SELECT name AS item FROM {CATALOG} WHERE idx % 50 = 0)"
+ITEMS = f"(SELECT p_name || ' ' || p_type || ' ' || p_brand || ' ' || p_size || 'mg' AS item FROM part)"
 
 
-@query("ignored_flag", f"""WITH k AS (SELECT DISTINCT lower({sql_collapse('item')}) AS b FROM {ITEMS}), t AS (SELECT DISTINCT name AS text, lower(name) AS a FROM {CATALOG}),
-    m AS (SELECT DISTINCT text FROM t, k WHERE 200.0 * least(length(a), length(b)) >= 90 * (length(a) + length(b)) AND {sql_ratio('a', 'b')} >= 90)
-    SELECT text, text IN (SELECT text FROM m) AS ignored FROM t""")
-def ignored_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = catalog(spark, sf_dir)
+def _ignored(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
+    """The ignore list is every product, its words in another order; asked are the products whose id 20 divides, or all."""
+    rows = catalog(spark, sf_dir) if whole else catalog(spark, sf_dir).where("idx % 20 = 0")
     texts = rows.select(F.col("name").alias("text")).distinct()
-    hits = semijoins.ignored(texts, rows.where("idx % 50 = 0").select(F.col("name").alias("item")), CONFIG).withColumn("hit", F.lit(True))
-    return texts.join(hits, "text", "left").select("text", F.coalesce("hit", F.lit(False)).alias("ignored"))
-
-
-@query("ignored_flag_whole")
-def ignored_flag_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ignore list is every product, its words in another order."""
-    texts = catalog(spark, sf_dir).select(F.col("name").alias("text")).distinct()
     items = _read(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_type", "p_brand", F.concat(F.col("p_size").cast("string"), F.lit("mg"))).alias("item"))
     hits = semijoins.ignored(texts, items, CONFIG).withColumn("hit", F.lit(True))
     return texts.join(hits, "text", "left").select("text", F.coalesce("hit", F.lit(False)).alias("ignored"))
 
 
-@query("controlled_flag", "SELECT * FROM (VALUES ('جابتين 300 مجم كبسول', true), ('جابتن 300 كبسول', true), ('ليريكا 75 مجم', false), ('فيت د ثري', true), ('فيت سي', false)) v(text, controlled)")
+query("ignored_flag", f"""WITH k AS (SELECT DISTINCT lower({sql_collapse('item')}) AS b FROM {ITEMS}), t AS (SELECT DISTINCT name AS text, lower(name) AS a FROM {CATALOG} WHERE idx % 20 = 0),
+    m AS (SELECT DISTINCT text FROM t, k WHERE 200.0 * least(length(a), length(b)) >= 90 * (length(a) + length(b)) AND {sql_ratio('a', 'b')} >= 90)
+    SELECT text, text IN (SELECT text FROM m) AS ignored FROM t""")(partial(_ignored, whole=False))
+query("ignored_flag_whole")(partial(_ignored, whole=True))
+
+
+# Every line's text against a list of every product name, a letter of its longest word lost.
+LISTED = "(SELECT DISTINCT regexp_replace(p_name, '([a-z]{5})[a-z]', '\\1') AS entry FROM part)"
+_words = "list_distinct(list_filter(string_split({x}, ' '), lambda w: w <> '' AND NOT regexp_full_match(w, '[0-9]+')))"
+
+
+@query("controlled_flag", f"""WITH e AS (SELECT entry, unnest({_words.format(x=sql_collapse('entry'))}) AS listed FROM {LISTED}),
+    t AS (SELECT DISTINCT text FROM {NOISY}), w AS (SELECT text, unnest({_words.format(x=sql_collapse('text'))}) AS word FROM t),
+    a AS MATERIALIZED (SELECT word, listed FROM (SELECT DISTINCT word FROM w), (SELECT DISTINCT listed FROM e) WHERE {sql_ratio('word', 'listed')} >= 88),
+    m AS (SELECT text, entry FROM w JOIN a USING (word) JOIN e USING (listed) JOIN (SELECT entry, count(*) AS n FROM e GROUP BY entry) USING (entry) GROUP BY text, entry, n HAVING count(DISTINCT listed) = n)
+    SELECT text, text IN (SELECT text FROM m) AS controlled FROM t""")
 def controlled_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = spark.createDataFrame([("جابتين 300 مجم كبسول",), ("جابتن 300 كبسول",), ("ليريكا 75 مجم",), ("فيت د ثري",), ("فيت سي",)], "text string")
-    entries = semijoins.controlled_entries(spark.createDataFrame([("اسم الصنف",), ("جابتين",), ("فيت ثري",), ("جدول الاصناف المهمة",)], "name string"))
-    hits = semijoins.controlled(texts, entries, CONFIG).withColumn("hit", F.lit(True))
+    texts = stage(noisy(spark, sf_dir).select("text").distinct(), "texts")
+    names = _read(spark, sf_dir, "part").select(F.regexp_replace("p_name", "([a-z]{5})[a-z]", "$1").alias("name"))
+    hits = semijoins.controlled(texts, semijoins.controlled_entries(names), CONFIG).withColumn("hit", F.lit(True))
     return texts.join(hits, "text", "left").select("text", F.coalesce("hit", F.lit(False)).alias("controlled"))
 
 
-@query("party_resolve", """SELECT 'Invoice ' || s_suppkey || ' To: PTY' || s_suppkey || '/Stock end' AS header, s_name AS party, true AS matched FROM supplier
-    UNION ALL SELECT 'To: QQQQ/Unknown', 'QQQQ/Unknown', false""")
+# Of each supplier a header for every tier: its code, its first segment, its code with a wrong letter, and a code of nobody.
+HEADERS = """(SELECT unnest(['Invoice ' || s_suppkey || ' To: PTY' || s_suppkey || '/Stock end', 'Given to PTY' || s_suppkey || ', here',
+    'To: PTX' || s_suppkey || '/Stock', 'To: Q/' || s_suppkey || 'ZZZZZZZZZZ end']) AS header FROM supplier)"""
+
+
+@query("party_resolve", f"""WITH d AS (SELECT s_suppkey AS pos, 'PTY' || s_suppkey || '/Stock' AS code, 'pty' || s_suppkey AS short, s_name AS name FROM supplier),
+    h AS (SELECT DISTINCT header, regexp_extract(CASE WHEN instr(lower(header), 'to:') > 0 THEN substr(header, CAST(instr(lower(header), 'to:') AS BIGINT), 250) ELSE header END, '{semijoins.CODE}') AS token FROM {HEADERS}),
+    t1 AS (SELECT header, arg_min(name, (-length(code), pos)) AS name FROM h, d WHERE contains(lower(header), lower(code)) GROUP BY header),
+    t2 AS (SELECT header, arg_min(name, pos) AS name FROM h, d WHERE regexp_matches(lower(header), '(^|[^a-z0-9])' || short || '([^a-z0-9]|$)') GROUP BY header),
+    s AS (SELECT header, pos, name, {sql_ratio('token', 'code')} AS score FROM h, d WHERE token <> '' AND header NOT IN (SELECT header FROM t1) AND header NOT IN (SELECT header FROM t2)),
+    t3 AS (SELECT header, arg_min(name, (-score, pos)) AS name FROM s WHERE score >= 75 GROUP BY header)
+    SELECT header, coalesce(t1.name, t2.name, t3.name, token, '') AS party, coalesce(t1.name, t2.name, t3.name) IS NOT NULL AS matched,
+        CASE WHEN t1.name IS NOT NULL THEN 1 WHEN t2.name IS NOT NULL THEN 2 WHEN t3.name IS NOT NULL THEN 3 ELSE 4 END AS tier
+    FROM h LEFT JOIN t1 USING (header) LEFT JOIN t2 USING (header) LEFT JOIN t3 USING (header)""")
 def party_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = _read(spark, sf_dir, "supplier")
     directory = supplier.select(F.col("s_suppkey").alias("pos"), F.concat(F.lit("PTY"), "s_suppkey", F.lit("/Stock")).alias("code"), F.col("s_name").alias("name"))
-    headers = supplier.select(F.concat(F.lit("Invoice "), "s_suppkey", F.lit(" To: PTY"), "s_suppkey", F.lit("/Stock end")).alias("header"))
-    headers = headers.union(spark.createDataFrame([("To: QQQQ/Unknown",)], "header string"))
-    return semijoins.resolve_party(headers, directory, CONFIG).select("header", "party", "matched")
+    of = lambda before, after: F.concat(F.lit(before), "s_suppkey", F.lit(after))
+    kinds = F.array(F.concat(of("Invoice ", " To: PTY"), F.col("s_suppkey"), F.lit("/Stock end")), of("Given to PTY", ", here"), of("To: PTX", "/Stock"), of("To: Q/", "ZZZZZZZZZZ end"))
+    return semijoins.resolve_party(supplier.select(F.explode(kinds).alias("header")), directory, CONFIG)
 
 
 @query("header_detect", "SELECT * FROM (VALUES (0, 2, 5, 3), (1, 0, 1, -1), (2, -1, 0, -1)) v(id, product, price, quantity)")

@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import features, lexicon, similarity, text, translit
-from tallyloom.operators.similar import Scorer
+from tallyloom.operators.similar import Keys
 
 CLEANED = [
     ("Panadol Extra 500mg Tab", "Panadol Extra Tab", ["500mg"], ["500 مجم"]),
@@ -61,5 +62,6 @@ def test_both_scorers_equal_the_dynamic_programme(spark):
     rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
     got = [r.x for r in rows.select("i", similarity.ratio(F.col("a"), F.col("b")).alias("x")).orderBy("i").collect()]
     assert got == pytest.approx(want)
-    scorer = Scorer([b for _, b in pairs])
-    assert [scorer.ratios(a)[i] for i, (a, _) in enumerate(pairs)] == pytest.approx(want)
+    texts, i = [a for a, _ in pairs], np.arange(len(pairs))
+    keys = Keys([b for _, b in pairs])
+    assert list(keys.ratios(texts, i, i)) == pytest.approx(want)
