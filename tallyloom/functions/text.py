@@ -47,8 +47,9 @@ def key_lower(x: Column) -> Column:
 
 
 def key_folded(x: Column) -> Column:
-    """Trimmed and lower-cased, inner white space kept."""
-    return F.lower(strip(x))
+    """Trimmed and case-folded, inner white space kept: letters of one upper case are one (ß as ss, both sigmas, a dotless ı as i)."""
+    upper = F.replace(F.upper(strip(x)), F.lit("ẞ"), F.lit("SS"))
+    return F.replace(F.lower(upper), F.lit("ς"), F.lit("σ"))
 
 
 def extract_units(x: Column) -> Column:

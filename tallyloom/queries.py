@@ -168,8 +168,31 @@ def _candidate(x):
 _golden("candidate_assemble", LINES, _candidate)
 _golden("lexical_map", [("El Nile", "ar:النيل"), ("Sugar Free Gum", "ar:خالي من السكر|en:Gum"), ("Omega tabs 30", "en:Omega|ar:أقراص|en:30"), ("", "")],
         lambda x: _joined(F.transform(lexicon.lexical_map(x), lambda p: F.concat_ws(":", p["kind"], p["value"]))))
-_golden("synonym_variants", [("نقطة", "نقطة|قطرةة"), ("بخاخة نقط", "بخاخة نقط|بخاخ نقط|بخاخةة نقط|بخاخة قطرة|بخاخ قطرة|بخاخةة قطرة"), ("plain", "plain")], lambda x: _joined(features.variants(x)))
-_golden("form_group", [("كتافلام 50 مجم أقراص", "solid_oral"), ("اسم شراب كريم", "liquid_oral"), ("بدون", None)], features.form_group)
+
+# Arabic words of a dosage form, as packing notices and as a word that has a synonym, by a product's size.
+ARABIC = ["قرص", "شراب", "كريم", "نقطة", "بخاخة", "سعر جديد", "لبوس", "أمبول"]
+_named = f"p_name || ' ' || [{', '.join(repr(w) for w in ARABIC)}][p_size % 8 + 1] || ' ' || [{', '.join(repr(w) for w in ARABIC)}][p_partkey % 8 + 1]"
+_forms = "CASE WHEN {w} = 'قرص' THEN 'solid_oral' WHEN {w} = 'شراب' THEN 'liquid_oral' WHEN {w} = 'كريم' THEN 'topical' WHEN {w} = 'أمبول' THEN 'injectable' WHEN {w} = 'نقطة' THEN 'drops' WHEN {w} = 'لبوس' THEN 'suppository' WHEN {w} = 'بخاخة' THEN 'spray' END"
+_form = "list_extract(list_filter(list_transform(string_split({x}, ' '), lambda w: " + _forms.format(w="w") + "), lambda g: g IS NOT NULL), 1)"
+
+
+def _arabic_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.array(*map(F.lit, ARABIC))
+    return _read(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", F.get(words, F.col("p_size") % 8), F.get(words, (F.col("p_partkey") % 8).cast("int"))).alias("text"))
+
+
+@query("form_group", f"SELECT p_partkey, {_form.format(x='text')} AS form FROM (SELECT p_partkey, {_named} AS text FROM part)")
+def form_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _arabic_names(spark, sf_dir).select("p_partkey", features.form_group(F.col("text")).alias("form"))
+
+
+# Both synonym pairs exchanged at once or apart, either way round: every spelling, sorted.
+_spelled = "list_distinct(flatten(list_transform(list_distinct([text, replace(text, 'نقط', 'قطرة'), replace(text, 'قطرة', 'نقط')]), lambda x: [x, replace(x, 'بخاخة', 'بخاخ'), replace(x, 'بخاخ', 'بخاخة')])))"
+
+
+@query("synonym_variants", f"SELECT p_partkey, array_to_string(list_sort({_spelled}), '|') AS spelled FROM (SELECT p_partkey, {_named} AS text FROM part)")
+def synonym_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _arabic_names(spark, sf_dir).select("p_partkey", _joined(F.array_sort(features.variants(F.col("text")))).alias("spelled"))
 
 
 @query("script_detect", """SELECT doc_id, length(regexp_replace(text, '[^؀-ۿ]', '', 'g')) > length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS arabic
@@ -300,10 +323,12 @@ def guard_anchor(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataF
     return rows.select("candidate", "c.idx", alike.alias("alike"))
 
 
-@query("guard_form", "SELECT * FROM (VALUES ('اسم كريم', 'اسم مرهم', true), ('اسم كريم', 'اسم أقراص', false), ('اسم', 'اسم شراب', true)) v(a, b, same_form)")
+@query("guard_form", f"""WITH n AS (SELECT p_partkey, {_form.format(x='text')} AS form FROM (SELECT p_partkey, {_named} AS text FROM part))
+    SELECT a.p_partkey AS a, b.p_partkey AS b, coalesce(a.form = b.form, true) AS same_form FROM n a JOIN n b ON b.p_partkey = a.p_partkey + 1""")
 def guard_form(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("اسم كريم", "اسم مرهم"), ("اسم كريم", "اسم أقراص"), ("اسم", "اسم شراب")], "a string, b string")
-    return rows.withColumn("same_form", F.coalesce(features.form_group(F.col("a")) == features.form_group(F.col("b")), F.lit(True)))
+    forms = _arabic_names(spark, sf_dir).select(F.col("p_partkey").alias("a"), features.form_group(F.col("text")).alias("form"))
+    other = forms.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("form").alias("other"))
+    return forms.join(other, "a").select("a", "b", F.coalesce(F.col("form") == F.col("other"), F.lit(True)).alias("same_form"))
 
 
 @query("closest_suggestion", f"SELECT q AS candidate, arg_min(idx, r) AS idx FROM {GUARDED} WHERE same_numbers AND alike GROUP BY q")
@@ -420,12 +445,22 @@ def party_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semijoins.resolve_party(supplier.select(F.explode(kinds).alias("header")), directory, CONFIG)
 
 
-@query("header_detect", "SELECT * FROM (VALUES (0, 2, 5, 3), (1, 0, 1, -1), (2, -1, 0, -1)) v(id, product, price, quantity)")
+# A table's head for each line: six cells, turned by the line's number.
+_cells = "['#', 'Code', 'Product' || chr(10) || 'Name', NULL, 'Lot  QTY', 'Unit' || chr(10) || 'Price', 'سعر']"
+_turned = f"list_concat({_cells}[l_linenumber % 7 + 1:], {_cells}[:l_linenumber % 7])"
+_hit = "coalesce(list_position(list_transform(list_transform({c}, lambda x: lower(regexp_replace(coalesce(x, ''), '\\s+', ' ', 'g'))), lambda x: {t}), true), 0) - 1"
+
+
+@query("header_detect", f"""SELECT l_orderkey, l_linenumber, {_hit.format(c='cells', t="contains(x, 'product')")} AS product,
+    {_hit.format(c='cells', t="contains(x, 'price') OR contains(x, 'سعر')")} AS price, {_hit.format(c='cells', t="contains(x, 'quantity') OR contains(x, 'qty') OR contains(x, 'كمية')")} AS quantity
+    FROM (SELECT l_orderkey, l_linenumber, {_turned} AS cells FROM lineitem)""")
 def header_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(0, ["#", "Code", "Product\nName", "QTY", "Lot Date", "Unit\nPrice"]), (1, ["product", "سعر", None]), (2, ["Price", "x"])]
-    found = spark.createDataFrame(rows, "id int, header array<string>")
+    cells = F.array(*(F.lit(c) for c in ("#", "Code", "Product\nName", None, "Lot  QTY", "Unit\nPrice", "سعر")))
+    by = (F.col("l_linenumber") % 7).cast("int")
+    turned = F.when(by == 0, cells).otherwise(F.concat(F.slice(cells, by + 1, F.lit(7)), F.slice(cells, F.lit(1), by)))
+    found = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", turned.alias("header"))
     kinds = {"product": invoices.PRODUCT_HINTS, "price": invoices.PRICE_HINTS, "quantity": invoices.QUANTITY_HINTS}
-    return found.select("id", *(F.coalesce(invoices.find_column(F.col("header"), hints), F.lit(-1)).alias(name) for name, hints in kinds.items()))
+    return found.select("l_orderkey", "l_linenumber", *(F.coalesce(invoices.find_column(F.col("header"), hints), F.lit(-1)).alias(name) for name, hints in kinds.items()))
 
 
 @query("price_parse", "SELECT l_orderkey, l_linenumber, l_extendedprice AS price FROM lineitem")
@@ -434,10 +469,33 @@ def price_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.parse_number(shown).alias("price"))
 
 
-@query("quantity_parse", "SELECT * FROM (VALUES ('1,200', 1200.0), ('3', 3.0), ('-2.50 kg', -2.5), ('none', NULL), ('', NULL)) v(cell, quantity)")
+@query("quantity_parse", """SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN l_quantity * 1000 WHEN 1 THEN -l_quantity WHEN 2 THEN NULL ELSE l_quantity + 0.5 END AS quantity FROM lineitem""")
 def quantity_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("1,200",), ("3",), ("-2.50 kg",), ("none",), ("",)], "cell string")
-    return rows.select("cell", text.parse_number(F.col("cell")).alias("quantity"))
+    n, c = F.col("l_linenumber") % 4, F.col("l_quantity")
+    shown = F.when(n == 0, F.format_number(c * 1000, 0)).when(n == 1, F.concat(F.lit(" -"), F.format_number(c, 2), F.lit(" kg"))).when(n == 2, "none").otherwise(F.format_number(c + 0.5, 1))
+    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.parse_number(shown).alias("quantity"))
+
+
+# An invoice of each order: odd ones have a table, even ones the same lines as text.
+@query("scan_fallback", """SELECT CAST(l_orderkey AS VARCHAR) AS path, CASE WHEN l_orderkey % 2 = 1 THEN 'Article of ' || l_partkey ELSE 'Article of ' || l_partkey || ' x' || l_linenumber END AS name,
+    CASE WHEN l_orderkey % 2 = 1 THEN l_quantity END AS quantity, CASE WHEN l_orderkey % 2 = 1 THEN l_extendedprice END AS unit_price FROM lineitem""")
+def scan_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, head = _read(spark, sf_dir, "lineitem"), F.array(F.lit("#"), F.lit("Product"), F.lit("Quantity"), F.lit("Unit Price"))
+    article = F.concat(F.lit("Article of "), F.col("l_partkey").cast("string"))
+    cells = F.array(F.col("l_linenumber").cast("string"), article, F.format_number("l_quantity", 0), F.format_number("l_extendedprice", 2))
+    typed = F.concat(article, F.lit(" x"), F.col("l_linenumber").cast("string"))
+    files = lines.groupBy(F.col("l_orderkey").cast("string").alias("path"), (F.col("l_orderkey") % 2).alias("odd")).agg(F.collect_list(cells).alias("rows"), F.collect_list(typed).alias("typed"))  # an order's lines
+    total = F.array(F.lit(None).cast("string"), F.lit("Grand Total"), F.lit("1"), F.lit("1"))
+    found = files.where("odd = 1").select("path", F.lit(0).alias("page"), F.lit(0).alias("n"), F.concat(F.array(head), "rows", F.array(total)).alias("cells"))
+    pages = files.select("path", F.lit(0).alias("page"), F.concat(F.lit("Invoice 1\n"), F.array_join("typed", "\n"), F.lit("\nPage 1\n12 34")).alias("text"))
+    return invoices.item_rows(found, pages).select("path", "name", "quantity", "unit_price")
+
+
+@query("header_slice", """SELECT CAST(o_orderkey AS VARCHAR) AS path, 'Invoice ' || o_orderkey || chr(10) || 'To: PTY' || o_custkey || '/Stock ' AS header FROM orders""")
+def header_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey").cast("string")
+    page = F.concat(F.lit("Invoice "), key, F.lit("\nTo: PTY"), F.col("o_custkey").cast("string"), F.lit("/Stock #  code Product\n1 # Code Product"))
+    return invoices.header_text(_read(spark, sf_dir, "orders").select(key.alias("path"), F.lit(0).alias("page"), page.alias("text")))
 
 
 @query("footer_filter", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber NOT IN (3, 5)")
@@ -469,18 +527,11 @@ def override_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merges.upsert(rows.where("version % 2 = 0"), rows.where("version % 2 = 1"), "key", "version")
 
 
-@query("missing_append_dedupe", """WITH l AS (SELECT lower(p_name) AS k, p_name AS original_text, p_partkey AS recorded_at FROM part WHERE p_partkey % 10 = 0),
-    r AS (SELECT lower(p_name) AS k, upper(p_name) AS original_text, p_partkey AS recorded_at FROM part WHERE p_partkey % 10 = 1)
+@query("missing_append_dedupe", """WITH l AS (SELECT lower(p_name) AS k, p_name AS original_text, p_partkey AS recorded_at FROM part WHERE p_partkey % 2 = 0),
+    r AS (SELECT lower(p_name) AS k, upper(p_name) AS original_text, p_partkey AS recorded_at FROM part WHERE p_partkey % 2 = 1)
     SELECT original_text, recorded_at FROM l UNION ALL SELECT arg_min(original_text, recorded_at), min(recorded_at) FROM r WHERE k NOT IN (SELECT k FROM l) GROUP BY k""")
 def missing_append_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = _read(spark, sf_dir, "part")
-    log = part.where("p_partkey % 10 = 0").select(F.col("p_name").alias("original_text"), F.col("p_partkey").alias("recorded_at"))
-    new = part.where("p_partkey % 10 = 1").select(F.upper("p_name").alias("original_text"), F.col("p_partkey").alias("recorded_at"))
-    return merges.append_missing(log, new)
-
-
-@query("missing_append_dedupe_whole")
-def missing_append_dedupe_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even keys are the log, odd ones the new records."""
     part = _read(spark, sf_dir, "part")
     log = part.where("p_partkey % 2 = 0").select(F.col("p_name").alias("original_text"), F.col("p_partkey").alias("recorded_at"))
     new = part.where("p_partkey % 2 = 1").select(F.upper("p_name").alias("original_text"), F.col("p_partkey").alias("recorded_at"))

@@ -7,11 +7,13 @@ Taking tables and text out of a PDF is a plug-in: ``extract(bytes)`` gives pages
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, parse_number, strip
+from ..staging import stage
 
 # Words that name columns, footers, and lines that are no products.
 PRODUCT_HINTS = ["product"]
@@ -62,9 +64,7 @@ def text_rows(pages: DataFrame) -> DataFrame:
     """(path, page, row, name) of the lines of pages (path, page, text) that may be products."""
     lines = pages.select("path", "page", F.posexplode(F.split("text", r"\r\n|[\n\r]")).alias("row", "line"))
     lines = lines.select("path", "page", "row", strip(F.col("line")).alias("name")).where("name <> ''")
-    low = F.lower("name")
-    for h in NO_PRODUCT_HINTS:
-        lines = lines.where(~F.contains(low, F.lit(h)))
+    lines = lines.where(~F.lower("name").rlike("|".join(NO_PRODUCT_HINTS)))
     return lines.where(F.col("name").rlike("[A-Za-z؀-ۿ]{3,}"))
 
 
@@ -82,14 +82,35 @@ def header_text(pages: DataFrame) -> DataFrame:
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, content) of a folder's own .pdf files, by path."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
-    return files.select("path", "content").orderBy("path")
+    """(path) of a folder's own .pdf files, by path; their contents are not read."""
+    return contents(spark, folder).select("path").orderBy("path")
 
 
-def read_files(files: DataFrame, extract: Callable[[bytes], list[tuple[list, str]]]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(tables, pages, failed) of files (path, content); a file that cannot be read is in failed alone."""
-    schema = "path string, page int, tables array<array<array<string>>>, text string, error string"
+def contents(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, content) of a folder's own .pdf files, in any order."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder).select("path", "content")
+
+
+READ = "path string, page int, tables array<array<array<string>>>, text string, error string"
+
+
+@dataclass
+class Imported:
+    """rows (path, page, n, row, name, quantity, unit_price), headers (path, header), failed (path, error) and how many of each."""
+
+    rows: DataFrame
+    headers: DataFrame
+    failed: DataFrame
+    pages: int
+    errors: int
+
+
+def read_files(files: DataFrame, extract: Callable[[bytes], list[tuple[list, str]]]) -> Imported:
+    """What ``extract`` finds in files (path, content), each read once.
+
+    The pass over the files stages their pages and errors, and counts both on its way. A file that cannot be read, and
+    one without a row, is in ``failed`` alone; the others go on.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -98,12 +119,18 @@ def read_files(files: DataFrame, extract: Callable[[bytes], list[tuple[list, str
             out = []
             for path, content in zip(batch["path"], batch["content"]):
                 try:
-                    out += [(path, i, tables, text, None) for i, (tables, text) in enumerate(extract(content))]
+                    out += [(path, i, tables, text, None) for i, (tables, text) in enumerate(extract(content))] or [(path, None, None, None, None)]
                 except Exception as e:  # told in the table of failures
                     out.append((path, None, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["path", "page", "tables", "text", "error"])
 
-    read = files.mapInPandas(run, schema)
-    fine = read.where("error is null")
-    tables = fine.select("path", "page", F.posexplode("tables").alias("n", "cells"))
-    return tables, fine.select("path", "page", "text"), read.where("error is not null").select("path", "error")
+    seen = Observation()
+    read = files.select("path", "content").mapInPandas(run, READ).observe(seen, F.count("page").alias("pages"), F.count("error").alias("errors"))
+    read = stage(read, "pages")
+    fine = read.where("page is not null")
+    tables, pages = fine.select("path", "page", F.posexplode("tables").alias("n", "cells")), fine.select("path", "page", "text")
+    rows = stage(item_rows(tables, pages), "rows")
+    empty = read.where("error is null").select("path").distinct().join(rows.select("path"), "path", "left_anti")
+    failed = read.where("error is not null").select("path", "error").union(empty.select("path", F.lit("no rows").alias("error")))
+    headers = header_text(pages).join(rows.select("path"), "path", "left_semi")
+    return Imported(rows, headers, failed, seen.get["pages"], seen.get["errors"])

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
+from ..staging import stage
 from .xlsx import XlsxSource
 
 # Headers under which each column may stand.
@@ -27,9 +28,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """A table of strings (but for Parquet) with ``idx``, the order of its rows in their file."""
+    """A table of strings (but for Parquet) with ``idx``, the order of its rows over its files by path."""
     low = path.lower()
-    if low.endswith((".xlsx", ".xls")):
+    if low.endswith(".xlsx"):
         spark.dataSource.register(XlsxSource)
         return spark.read.format("tallyloom-xlsx").option("path", path).option("header", str(header).lower()).load()
     if low.endswith(".csv"):
@@ -38,7 +39,22 @@ def read(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
         rows = spark.read.parquet(path)
     else:
         raise ValueError(f"no reader for {path}")
-    return rows if "idx" in rows.columns else rows.withColumn("idx", F.monotonically_increasing_id())
+    return rows if "idx" in rows.columns else numbered(rows)
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` of files with ``idx``: 0, 1, ... by path and, within a file, from its beginning.
+
+    Spark packs splits of files into partitions by size, so partitions do not follow files. Rows are staged with the
+    split that they came from, splits are counted, and a split's rows follow on all that come before it.
+    """
+    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start")]
+    held = stage(rows.select("*", *place, F.monotonically_increasing_id().alias("__at")), "numbered")
+    splits = held.groupBy("__file", "__start").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    splits = splits.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    found = held.join(splits.drop("__n"), ["__file", "__start"])
+    return found.select(*(f"`{c}`" for c in rows.columns), (F.col("__before") + F.col("__at") - F.col("__first")).alias("idx"))
 
 
 def aliased(rows: DataFrame, headers: dict[str, list[str]], required: tuple[str, ...] = ()) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import MatchConfig
 from ..plans.cascade import Dimensions, match
+from ..staging import staging
 
 LINES = "invoice string, pos long, text string, invoice_price double, quantity double"
 
@@ -16,6 +17,7 @@ def match_stream(
 ) -> StreamingQuery:
     """Match Parquet files as they come into ``source``; a batch that runs again replaces itself."""
     def sink(batch: DataFrame, epoch: int) -> None:
-        match(batch, dims, config).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+        with staging(batch.sparkSession):  # what a batch stages goes with it
+            match(batch, dims, config).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
 
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,10 +1,15 @@
 import zipfile
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
+from tallyloom.functions import text
+from tallyloom.operators import lookups
 from tallyloom.sources import invoices, tables
 from tallyloom.streaming.files import LINES, match_stream
 from tallyloom.plans.cascade import Dimensions
+from tallyloom.staging import checkpoint_dir
 
 SHEET = """<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{}</sheetData></worksheet>"""
 
@@ -51,20 +56,65 @@ def test_tables_before_text(spark):
     assert {r.path: r.header for r in invoices.header_text(pages).collect()}["b"] == "To: AB/C "
 
 
-def test_a_file_that_cannot_be_read_fails_alone(spark, tmp_path):
-    for name, content in (("b.PDF", b"good"), ("a.pdf", b"bad"), ("c.txt", b"good")):
+def test_files_are_read_once_and_fail_alone(spark, tmp_path):
+    for name, content in (("b.PDF", b"good"), ("a.pdf", b"bad"), ("c.txt", b"good"), ("d.pdf", b"empty"), ("e.pdf", b"blank")):
         (tmp_path / name).write_bytes(content)
-    files = invoices.list_files(spark, str(tmp_path))
-    assert [r.path.rsplit("/", 1)[1] for r in files.collect()] == ["a.pdf", "b.PDF"]
+    assert [r.path.rsplit("/", 1)[1] for r in invoices.list_files(spark, str(tmp_path)).collect()] == ["a.pdf", "b.PDF", "d.pdf", "e.pdf"]
+    calls = spark.sparkContext.accumulator(0)
 
     def extract(content):
+        calls.add(1)
         if content == b"bad":
             raise ValueError("no pages")
-        return [([[["Product"], ["item"]]], "text")]
-
-    found, pages, failed = invoices.read_files(files, extract)
-    assert invoices.item_rows(found, pages).first().name == "item"
-    assert [r.error for r in failed.collect()] == ["ValueError: no pages"]
+        return {b"empty": [], b"blank": [([], "Page 1"), ([], None)]}.get(content) or [([[["Product"], ["item"]]], "To: AB/C # Code Product")] if content != b"empty" else []
+
+    got = invoices.read_files(invoices.contents(spark, str(tmp_path)), extract)
+    assert [r.name for r in got.rows.collect()] == ["item"] and [r.header for r in got.headers.collect()] == ["To: AB/C "]
+    assert {r.path.rsplit("/", 1)[1]: r.error for r in got.failed.collect()} == {"a.pdf": "ValueError: no pages", "d.pdf": "no rows", "e.pdf": "no rows"}
+    assert (got.pages, got.errors, calls.value) == (3, 1, 4)
+
+
+def test_rows_keep_the_order_of_their_files(spark, tmp_path):
+    want = []
+    for f in range(7):
+        lines = [f"name {f % 3} {i % 5},{f * 100 + i}" for i in range((f * 13) % 40)]
+        (tmp_path / f"{f}.csv").write_text("Product,code\n" + "".join(x + "\n" for x in lines))
+        want += [tuple(x.split(",")) for x in lines]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        rows = tables.catalog(tables.numbered(spark.read.csv(str(tmp_path), header=True)))
+        assert [(r.name, r.code) for r in rows.orderBy("idx").collect()] == want
+        assert [r.idx for r in rows.select("idx").orderBy("idx").collect()] == list(range(len(want)))
+        first, last = {}, {}
+        for i, (name, _) in enumerate(want):
+            first.setdefault(name, i)
+            last[name] = i
+        assert {r.name: r.idx for r in lookups.by_name(rows).collect()} == first
+        assert {r["name"]: r.idx for r in lookups.last_wins(rows, "name", "idx").collect()} == last
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_dimensions_by_header(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("Odoo Name,arabic_code\n Key ,1\nkey,2\n,3\nother,\n")
+    (tmp_path / "o.csv").write_text("Odoo_Raw_Name,Mapped_Arabic_Name\na,x\nA ,y\n ,z\nb, \n")
+    (tmp_path / "i.csv").write_text("Item_Name\nsame\nsame\n")
+    read = lambda name, headers: tables.read_dimension(spark, str(tmp_path / name), headers)
+    assert {(r.key, r.code) for r in lookups.reference_map(read("m.csv", tables.MAP_HEADERS)).collect()} == {("KEY", "2")}
+    assert {(r.key, r.mapped) for r in lookups.overrides(read("o.csv", tables.OVERRIDE_HEADERS)).collect()} == {("a", "y")}
+    assert [r.item for r in read("i.csv", tables.IGNORE_HEADERS).collect()] == ["same", "same"]
+    assert read("none.csv", tables.IGNORE_HEADERS).columns == ["item", "version"]
+    (tmp_path / "bad.xlsx").write_bytes(b"no sheet")
+    assert tables.read_dimension(spark, str(tmp_path / "bad.xlsx"), tables.MAP_HEADERS, on_error="empty").count() == 0
+
+
+def test_folded_keys_equal_case_folding(spark):
+    letters = [chr(c) for r in ((0x41, 0x250), (0x370, 0x400), (0x400, 0x530), (0x600, 0x700), (0x1E00, 0x1F00)) for c in range(*r) if chr(c).isalpha()]
+    rows = spark.createDataFrame([(c + "a",) for c in letters], "x string").select("x", text.key_folded(F.col("x")).alias("k")).collect()
+    assert [r.x for r in rows if r.k != r.x.casefold()] == ["ıa"]
 
 
 def test_stream_of_line_files(spark, tmp_path):
@@ -72,3 +122,9 @@ def test_stream_of_line_files(spark, tmp_path):
     spark.createDataFrame([("i", 1, "اسم", 1.0, 1.0)], LINES).write.parquet(str(tmp_path / "in"))
     match_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), Dimensions(catalog)).awaitTermination()
     assert [(r.pos, r.source) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, "database")]
+    held = Path(checkpoint_dir(spark)) / "tallyloom"
+    before = set(held.iterdir()) if held.exists() else set()
+    spark.createDataFrame([("i", 2, "اسمم", 1.0, 1.0)], LINES).write.mode("append").parquet(str(tmp_path / "in"))
+    match_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), Dimensions(catalog)).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    assert set(held.iterdir()) <= before  # batches leave nothing behind
