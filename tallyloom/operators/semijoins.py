@@ -17,14 +17,17 @@ def _numbered(values: DataFrame, column: str) -> DataFrame:
 
 
 def ignored(texts: DataFrame, items: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
-    """The distinct texts (column text) that equal an item (column item) as keys or come near one."""
-    keyed = texts.where("text is not null").distinct().select("text", key_lower(F.col("text")).alias("key")).where("key <> ''")
-    keys = items.select(key_lower(F.col("item")).alias("key")).where("key <> ''").distinct()
-    exact = keyed.join(keys, "key", "left_semi")
-    rest = keyed.join(keys, "key", "left_anti")
-    near = at_least(rest.select(F.col("key").alias("text")), _numbered(keys, "key"), config.ignored_ratio)
-    near = near.select(F.col("text").alias("key")).distinct()
-    return exact.select("text").union(rest.join(near, "key", "left_semi").select("text"))
+    """The distinct texts (column text) that equal an item (column item) as keys or come near one. Staged."""
+    with staging(texts.sparkSession):
+        keyed = texts.where("text is not null").distinct().select("text", key_lower(F.col("text")).alias("key")).where("key <> ''")
+        keys = stage(items.select(key_lower(F.col("item")).alias("key")).where("key <> ''").distinct(), "items")
+        equal = keys.select(F.col("key").alias("same"))
+        keyed = stage(keyed.join(equal, F.col("key") == F.col("same"), "left"), "keyed")
+        rest = keyed.where("same is null")
+        near = at_least(rest.select(F.col("key").alias("text")), _numbered(keys, "key"), config.ignored_ratio)
+        near = near.select(F.col("text").alias("key")).distinct()
+        hits = keyed.where("same is not null").select("text").union(rest.join(near, "key", "left_semi").select("text"))
+        return outlive(stage(hits, "ignored"))
 
 
 def controlled_entries(rows: DataFrame, heading: str = "اسم الصنف", title: tuple[str, str] = ("جدول", "مهم")) -> DataFrame:

@@ -30,9 +30,9 @@ from ..staging import outlive, stage, staging
 KINDS = 128  # characters are counted by this many kinds; kinds that fall together only loosen the bound
 PIVOTS = 512
 SAMPLE = 8192  # keys that pivots are chosen from
-LEAST_BLOCK, BLOCKS = 256, 1 << 16
-FIRST = 1024  # keys that a text's first blocks hold
-SHARE = 2048  # texts of a block in one task
+LEAST_BLOCK, BLOCKS = 512, 1 << 16
+FIRST = 1536  # keys that a text's first blocks hold
+SHARE = 4096  # texts of a block in one task
 CELLS = 1 << 22  # numbers held at once
 NEAR = 1 << 17  # and those of a step that a processor's cache should hold
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -155,7 +155,7 @@ class Keys:
         bound = _share(apart(counts(texts), self.counts), lengths[:, None] + self.lengths)
         floors, n = floors.astype(float).copy(), len(texts)
         found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        scored, step = 0, len(self.keys) if k is None else 2 * k
+        scored, step = 0, len(self.keys) if k is None else 4 * k
         while True:
             open_ = bound >= floors[:, None] - 1e-9
             if not open_.any():
@@ -306,7 +306,7 @@ def _asked(visits: DataFrame, index: Index, k: int | None, probe: bool = False)
     held = held.select("block", "part", F.lit(0).alias("kind"), none("string").alias("text"), none("double").alias("floor"), "keys", "firsts")
     texts = visits.join(dealt, "block").withColumn("part", F.pmod(F.xxhash64("text"), F.col("parts")).cast("int"))
     texts = texts.select("block", "part", F.lit(1).alias("kind"), "text", "floor", none("array<string>").alias("keys"), none("array<long>").alias("firsts"))
-    both = held.union(texts).repartition(4 * _tasks(visits), "block", "part").sortWithinPartitions("block", "part", "kind")
+    both = held.union(texts).repartition(8 * _tasks(visits), "block", "part").sortWithinPartitions("block", "part", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = firsts = names = None
