@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import MatchConfig
@@ -16,7 +16,7 @@ from .functions import features, lexicon, text, translit
 from .functions import similarity as sim
 from .operators import decide, lookups, merges, semijoins, similar
 from .plans import cascade
-from .sources import invoices, tables
+from .sources import invoices, layout, tables
 from .staging import stage
 
 CONFIG = MatchConfig()
@@ -491,6 +491,32 @@ def scan_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invoices.item_rows(found, pages).select("path", "name", "quantity", "unit_price")
 
 
+# A page of each order: a title, and its lines as words at places; of the longer names the last word stands a line lower.
+@query("layout_tables", """SELECT CAST(l_orderkey AS VARCHAR) AS path, p_name || ' ' || p_brand AS name, l_quantity AS quantity, l_extendedprice AS unit_price
+    FROM lineitem JOIN part ON p_partkey = l_partkey""")
+def layout_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand")
+    lines = _read(spark, sf_dir, "lineitem").join(part, "l_partkey")
+    at = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")  # a few lines
+    rows = lines.select(F.col("l_orderkey").cast("string").alias("path"), (F.row_number().over(at) * 40 + 100.0).alias("y"), "*")
+
+    def word(shown: str | Column, x: float | Column, dy: float = 0.0) -> Column:
+        shown, x, y = (v if isinstance(v, Column) else F.lit(v) for v in (shown, x, F.col("y") + dy))
+        return F.struct(shown.alias("text"), x.cast("double").alias("x0"), y.alias("top"), (F.length(shown) * 4 + x).cast("double").alias("x1"), (y + 10).alias("bottom"))
+
+    name, after = F.split("p_name", " "), 44 + 4 * F.length(F.substring_index("p_name", " ", 1))
+    cells = F.array(
+        word(F.col("l_linenumber").cast("string"), 10.0), word(F.get(name, F.lit(0)), 40.0), word(F.get(name, F.lit(1)), after),
+        F.when(F.length("p_name") > 10, word(F.col("p_brand"), 40.0, 12.0)).otherwise(word(F.col("p_brand"), 44 + 4 * F.length("p_name"))),
+        word(F.format_number("l_quantity", 0), 200.0), word(F.format_number("l_extendedprice", 2), 260.0),
+    )
+    head = F.array(word("#", 10.0), word("Product", 40.0), word("Name", 72.0), word("Quantity", 200.0), word("Unit", 260.0), word("Price", 260.0, 12.0))
+    title = F.array(word("Invoice", 10.0, -60.0), word("of a product", 60.0, -60.0))
+    first = rows.select("path").distinct().withColumn("y", F.lit(100.0))
+    words = rows.select("path", F.explode(cells).alias("w")).unionByName(first.select("path", F.explode(F.concat(title, head)).alias("w"))).select("path", F.lit(0).alias("page"), "w.*")
+    return invoices.table_rows(layout.tables(words, layout.Gaps(table=3.5))).select("path", "name", "quantity", "unit_price")
+
+
 @query("header_slice", """SELECT CAST(o_orderkey AS VARCHAR) AS path, 'Invoice ' || o_orderkey || chr(10) || 'To: PTY' || o_custkey || '/Stock ' AS header FROM orders""")
 def header_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey").cast("string")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapse, parse_number, strip
 from ..staging import stage
+from . import layout
 
 # Words that name columns, footers, and lines that are no products.
 PRODUCT_HINTS = ["product"]
@@ -91,9 +92,6 @@ def contents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder).select("path", "content")
 
 
-READ = "path string, page int, tables array<array<array<string>>>, text string, error string"
-
-
 @dataclass
 class Imported:
     """rows (path, page, n, row, name, quantity, unit_price), headers (path, header), failed (path, error) and how many of each."""
@@ -111,6 +109,22 @@ def read_files(files: DataFrame, extract: Callable[[bytes], list[tuple[list, str
     The pass over the files stages their pages and errors, and counts both on its way. A file that cannot be read, and
     one without a row, is in ``failed`` alone; the others go on.
     """
+    read, seen = _extracted(files, extract, "struct<tables: array<array<array<string>>>, text: string>")
+    fine = read.where("page is not null").select("path", "page", "found.*")
+    return _imported(read, fine.select("path", "page", F.posexplode("tables").alias("n", "cells")), fine.select("path", "page", "text"), seen)
+
+
+def read_words(files: DataFrame, extract: Callable[[bytes], list[list[tuple]]], gaps: layout.Gaps = layout.Gaps()) -> Imported:
+    """As ``read_files``, where ``extract`` gives each page as words (text, x0, top, x1, bottom): tables and text are
+    rebuilt from where the words stand."""
+    read, seen = _extracted(files, extract, f"array<{layout.WORD}>")
+    words = read.where("page is not null").select("path", "page", F.explode("found").alias("word")).select("path", "page", "word.*")
+    tables, pages = stage(layout.tables(words, gaps), "tables"), stage(layout.page_text(words, gaps), "texts")
+    return _imported(read, tables, pages, seen)
+
+
+def _extracted(files: DataFrame, extract: Callable[[bytes], list], kind: str) -> tuple[DataFrame, Observation]:
+    """(path, page, found, error), staged, of one pass over the files; a file without pages has one row without any."""
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -119,16 +133,17 @@ def read_files(files: DataFrame, extract: Callable[[bytes], list[tuple[list, str
             out = []
             for path, content in zip(batch["path"], batch["content"]):
                 try:
-                    out += [(path, i, tables, text, None) for i, (tables, text) in enumerate(extract(content))] or [(path, None, None, None, None)]
+                    out += [(path, i, page, None) for i, page in enumerate(extract(content))] or [(path, None, None, None)]
                 except Exception as e:  # told in the table of failures
-                    out.append((path, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["path", "page", "tables", "text", "error"])
+                    out.append((path, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["path", "page", "found", "error"])
 
     seen = Observation()
-    read = files.select("path", "content").mapInPandas(run, READ).observe(seen, F.count("page").alias("pages"), F.count("error").alias("errors"))
-    read = stage(read, "pages")
-    fine = read.where("page is not null")
-    tables, pages = fine.select("path", "page", F.posexplode("tables").alias("n", "cells")), fine.select("path", "page", "text")
+    read = files.select("path", "content").mapInPandas(run, f"path string, page int, found {kind}, error string")
+    return stage(read.observe(seen, F.count("page").alias("pages"), F.count("error").alias("errors")), "pages"), seen
+
+
+def _imported(read: DataFrame, tables: DataFrame, pages: DataFrame, seen: Observation) -> Imported:
     rows = stage(item_rows(tables, pages), "rows")
     empty = read.where("error is null").select("path").distinct().join(rows.select("path"), "path", "left_anti")
     failed = read.where("error is not null").select("path", "error").union(empty.select("path", F.lit("no rows").alias("error")))
