@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import key_folded, key_lower, strip
@@ -20,31 +20,41 @@ def upsert(rows: DataFrame, changes: DataFrame, key: str, version: str) -> DataF
     return picked.select(*((F.col(key) if c == key else F.col("r")[c].alias(c)) for c in rows.columns))
 
 
+def keyed_overrides(rows: DataFrame) -> DataFrame:
+    """(key, raw, mapped, version) of overrides (raw, mapped, version) that are not blank."""
+    keyed = rows.select(key_lower(F.col("raw")).alias("key"), "raw", strip(F.col("mapped")).alias("mapped"), "version")
+    return keyed.where("key <> '' and mapped <> ''")
+
+
 def upsert_overrides(rows: DataFrame, changes: DataFrame) -> DataFrame:
     """Overrides (raw, mapped, version) after confirmations; blank ones change nothing."""
-    def keyed(x: DataFrame) -> DataFrame:
-        out = x.select(key_lower(F.col("raw")).alias("key"), "raw", strip(F.col("mapped")).alias("mapped"), "version")
-        return out.where("key <> '' and mapped <> ''")
-    return upsert(keyed(rows), keyed(changes), "key", "version").select("raw", "mapped", "version")
+    return upsert(keyed_overrides(rows), keyed_overrides(changes), "key", "version").select("raw", "mapped", "version")
 
 
-def append_ignored(items: DataFrame, actions: DataFrame) -> DataFrame:
-    """Items (item) and, of each action (raw, matched), both texts whose keys are new."""
+def keyed_items(actions: DataFrame) -> DataFrame:
+    """(key, item): of each action (raw, matched) both texts, one of each key."""
     both = actions.select(F.explode(F.array("raw", F.when(strip(F.col("matched")) != strip(F.col("raw")), F.col("matched")))).alias("item"))
     fresh = both.where("item is not null").select(key_lower(F.col("item")).alias("key"), strip(F.col("item")).alias("item")).where("key <> ''")
-    fresh = fresh.groupBy("key").agg(F.min("item").alias("item"))
+    return fresh.groupBy("key").agg(F.min("item").alias("item"))
+
+
+def append_ignored(items: DataFrame, actions: DataFrame) -> DataFrame:
+    """Items (item) and, of each action (raw, matched), both texts whose keys are new."""
     known = items.select(key_lower(F.col("item")).alias("key"))
-    return items.select("item").union(fresh.join(known, "key", "left_anti").select("item"))
+    return items.select("item").union(keyed_items(actions).join(known, "key", "left_anti").select("item"))
 
 
 def append_missing(log: DataFrame, records: DataFrame, text: str = "original_text", order: str = "recorded_at") -> DataFrame:
-    """``log`` and the records whose text it has not yet, the first of each; blank texts always."""
-    keyed = records.withColumn("__key", key_folded(F.coalesce(F.col(text), F.lit(""))))
-    first = F.row_number().over(Window.partitionBy("__key").orderBy(order))
-    named = keyed.where("__key <> ''").withColumn("__n", first).where("__n = 1").drop("__n")
+    """``log`` and the records whose text it has not yet, the first of each; blank texts always.
+
+    A record's first is a minimum, which combines before it moves: a text may be a third of all records. Records of
+    equal ``order`` are taken by their other columns.
+    """
+    keyed = records.select(*log.columns).withColumn("__key", key_folded(F.coalesce(F.col(text), F.lit(""))))
+    picked = keyed.where("__key <> ''").groupBy("__key").agg(F.min(F.struct(F.col(order).alias("__order"), *log.columns)).alias("__r"))
     known = log.select(key_folded(F.col(text)).alias("__key"))
-    fresh = named.join(known, "__key", "left_anti").unionByName(keyed.where("__key = ''"))
-    return log.unionByName(fresh.select(*log.columns))
+    fresh = picked.join(known, "__key", "left_anti").select("__r.*").select(*log.columns)
+    return log.unionByName(fresh).unionByName(keyed.where("__key = ''").select(*log.columns))
 
 
 def truncated(log: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ deterministic noise of case, units and administrative words. Arabic cases are li
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,10 +15,11 @@ from pyspark.sql import functions as F
 from .config import MatchConfig
 from .functions import features, lexicon, text, translit
 from .functions import similarity as sim
-from .operators import decide, lookups, merges, semijoins, similar
+from .operators import decide, feedback, lookups, merges, semijoins, similar
 from .plans import cascade
-from .sources import invoices, layout, tables
-from .staging import stage
+from .sources import invoices, layout, tables, versions
+from .staging import checkpoint_dir, stage
+from .streaming.files import missing_stream
 
 CONFIG = MatchConfig()
 
@@ -553,6 +555,29 @@ def override_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merges.upsert(rows.where("version % 2 = 0"), rows.where("version % 2 = 1"), "key", "version")
 
 
+@query("bucketed_upsert", """SELECT CAST(user_id AS VARCHAR) AS key, arg_max(event_type, event_id) AS mapped, max(event_id) AS version FROM events GROUP BY user_id""")
+def bucketed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd events change a table in versions that holds the even ones."""
+    rows = _read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("raw"), F.col("event_type").alias("mapped"), F.col("event_id").alias("version"))
+    even, path = merges.keyed_overrides(rows.where("version % 2 = 0")), f"{checkpoint_dir(spark)}/tallyloom/overrides-{uuid.uuid4().hex}"
+    versions.create(merges.upsert(even.limit(0), even, "key", "version"), path, "key", buckets=8)
+    feedback.save_overrides(rows.where("version % 2 = 1"), path)
+    return versions.read(spark, path).select("key", "mapped", "version")
+
+
+@query("streamed_missing_log", """SELECT lower(p_name) AS key, arg_min(p_name, p_partkey) AS original_text, CAST(min(p_partkey) AS BIGINT) AS recorded_at FROM part GROUP BY 1""")
+def streamed_missing_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part as a record of four files, in two micro-batches: by rising ids, so the smallest id of a name is the first."""
+    root = f"{checkpoint_dir(spark)}/tallyloom/log-{uuid.uuid4().hex}"
+    records = _read(spark, sf_dir, "part").select(F.col("p_name").alias("original_text"), F.col("p_partkey").cast("long").alias("recorded_at"))
+    feedback.new_log(records.limit(0), f"{root}/table", buckets=8)
+    middle = F.lit(records.agg(F.max("recorded_at") / 2).first()[0])
+    for batch in (records.where(F.col("recorded_at") < middle), records.where(F.col("recorded_at") >= middle)):
+        batch.repartition(2).write.mode("append").parquet(f"{root}/in")
+        missing_stream(spark, f"{root}/in", f"{root}/table", f"{root}/state", "original_text string, recorded_at long").awaitTermination()
+    return versions.read(spark, f"{root}/table").select("key", "original_text", "recorded_at")
+
+
 @query("missing_append_dedupe", """WITH l AS (SELECT lower(p_name) AS k, p_name AS original_text, p_partkey AS recorded_at FROM part WHERE p_partkey % 2 = 0),
     r AS (SELECT lower(p_name) AS k, upper(p_name) AS original_text, p_partkey AS recorded_at FROM part WHERE p_partkey % 2 = 1)
     SELECT original_text, recorded_at FROM l UNION ALL SELECT arg_min(original_text, recorded_at), min(recorded_at) FROM r WHERE k NOT IN (SELECT k FROM l) GROUP BY k""")
