@@ -172,7 +172,7 @@ def _claim(spark: SparkSession, path: str, version: Version) -> bool:
     out.write(bytearray(json.dumps(asdict(version)).encode()))
     out.close()
     try:
-        if fs.getScheme() != "file":
+        if fs.getUri().getScheme() != "file":
             return not fs.exists(final) and fs.rename(ready, final)
         os.link(ready.toUri().getPath(), final.toUri().getPath())  # a local rename would replace
         return True
