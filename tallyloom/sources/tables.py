@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapse
 from ..staging import stage
-from .xlsx import XlsxSource
+from .xlsx import read_xlsx
 
 # Headers under which each column may stand.
 CATALOG_HEADERS = {"code": ["كود", "code"], "name": ["صنف", "name", "product"], "price": ["سعر", "price"]}
@@ -31,8 +31,7 @@ def read(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """A table of strings (but for Parquet) with ``idx``, the order of its rows over its files by path."""
     low = path.lower()
     if low.endswith(".xlsx"):
-        spark.dataSource.register(XlsxSource)
-        return spark.read.format("tallyloom-xlsx").option("path", path).option("header", str(header).lower()).load()
+        return read_xlsx(spark, path, header)
     if low.endswith(".csv"):
         rows = spark.read.csv(path, header=header)
     elif low.endswith(".parquet"):

@@ -35,6 +35,34 @@ def test_catalog_readers(spark, tmp_path):
         tables.read_catalog(spark, str(tmp_path / "bad.csv"))
 
 
+def test_a_long_sheet_is_read_by_a_task(spark, tmp_path):
+    """300,000 rows with shared strings: the driver gets a header and a width, and rows keep their order."""
+    path, n = tmp_path / "long.xlsx", 300_000
+    shared = "".join(f"<si><r><t>na</t></r><r><t>me {i}</t></r></si>" for i in range(100))
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        out.writestr("xl/sharedStrings.xml", f'<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">{shared}</sst>')
+        with out.open("xl/worksheets/sheet1.xml", "w") as sheet:
+            sheet.write(SHEET.split("{}")[0].encode() + b'<row r="1"><c r="A1" t="inlineStr"><is><t>Product</t></is></c><c r="B1" t="inlineStr"><is><t>code</t></is></c></row>')
+            for i in range(n):
+                sheet.write(f'<row r="{i + 2}"><c r="A{i + 2}" t="s"><v>{i % 100}</v></c><c r="B{i + 2}"><v>{i}</v></c></row>'.encode())
+            sheet.write(SHEET.split("{}")[1].encode())
+    rows = tables.read_catalog(spark, str(path))
+    assert rows.where("name = concat('name ', idx % 100) and code = cast(idx as string)").count() == rows.count() == n
+    assert tuple(rows.agg(F.min("idx"), F.max("idx"), F.count_distinct("idx")).first()) == (0, n - 1, n)
+
+
+def test_odd_sheets(spark, tmp_path):
+    xlsx(tmp_path / "odd.xlsx", [["name", None, " name ", ""], ["a", "b", "c", "d", "e"], [None, "x"]])
+    rows = tables.read(spark, str(tmp_path / "odd.xlsx")).orderBy("idx")
+    assert rows.columns == ["name", "_c1", "name_2", "_c3", "_c4", "idx"]
+    assert [tuple(r) for r in rows.collect()] == [("a", "b", "c", "d", "e", 0), (None, "x", None, None, None, 1)]
+    xlsx(tmp_path / "none.xlsx", [])
+    assert tables.read(spark, str(tmp_path / "none.xlsx")).columns == ["idx"] and tables.read(spark, str(tmp_path / "none.xlsx")).count() == 0
+    with zipfile.ZipFile(tmp_path / "gap.xlsx", "w") as out:
+        out.writestr("xl/worksheets/sheet1.xml", SHEET.format('<row r="1"><c r="A1"><v>1</v></c></row><row r="4"><c r="B4"><v>2</v></c></row>'))
+    assert [tuple(r) for r in tables.read(spark, str(tmp_path / "gap.xlsx"), header=False).orderBy("idx").collect()] == [("1", None, 0), (None, None, 1), (None, None, 2), (None, "2", 3)]
+
+
 def test_controlled_sheet(spark, tmp_path):
     xlsx(tmp_path / "l.xlsx", [["title"], [None], ["1", "اسم الصنف"], ["2", "دواء"]])
     assert [r.name for r in tables.controlled_sheet(tables.read(spark, str(tmp_path / "l.xlsx"), header=False)).collect()] == ["اسم الصنف", "دواء"]
