@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, parse_number, strip
+from ..functions.text import SPACES, collapse, let, parse_number, strip
 from ..staging import stage
 from . import layout
 
@@ -30,15 +32,23 @@ def header_cell(cell: Column) -> Column:
     return F.lower(collapse(F.coalesce(cell, F.lit(""))))
 
 
+def find_columns(header: Column, kinds: dict[str, list[str]]) -> Column:
+    """struct: for each kind the index of the first header cell that contains one of its hints, or null. Cells are
+    normalised once for all kinds, and only lower-cased where no hint that counts has white space within."""
+    # A hint that contains another one finds no more than that one.
+    least = {name: [h for h in hints if not any(o in h for o in hints if o != h)] for name, hints in kinds.items()}
+    spaced = any(c in SPACES for hints in least.values() for h in hints for c in h)
+
+    def first(cells: Column, hints: list[str]) -> Column:
+        hit = lambda cell: reduce(or_, (F.contains(cell, F.lit(h)) for h in hints))
+        return F.nullif(F.array_position(F.transform(cells, hit), F.lit(True)), F.lit(0)).cast("int") - 1
+
+    return let(F.transform(header, header_cell if spaced else F.lower), lambda cells: F.struct(*(first(cells, hints).alias(name) for name, hints in least.items())))
+
+
 def find_column(header: Column, hints: list[str]) -> Column:
     """Index of the first header cell that contains a hint, or null."""
-    def hit(cell: Column) -> Column:
-        found = F.lit(False)
-        for h in hints:
-            found = found | F.contains(cell, F.lit(h))
-        return found
-    marked = F.transform(header, lambda c, i: F.when(hit(header_cell(c)), i))
-    return F.get(F.filter(marked, lambda i: i.isNotNull()), 0)
+    return find_columns(header, {"at": hints})["at"]
 
 
 def footer_filter(rows: DataFrame, name: str = "name") -> DataFrame:
@@ -49,10 +59,8 @@ def table_rows(tables: DataFrame) -> DataFrame:
     """(path, page, n, row, name, quantity, unit_price) of tables (path, page, n, cells) with a
     product column and a row below their header."""
     head = F.col("cells")[0]
-    found = tables.where(F.size("cells") >= 2).select(
-        "path", "page", "n", "cells", find_column(head, PRODUCT_HINTS).alias("p"),
-        find_column(head, PRICE_HINTS).alias("u"), find_column(head, QUANTITY_HINTS).alias("q"),
-    )
+    kinds = find_columns(head, {"p": PRODUCT_HINTS, "u": PRICE_HINTS, "q": QUANTITY_HINTS})
+    found = tables.where(F.size("cells") >= 2).select("path", "page", "n", "cells", kinds.alias("at")).select("path", "page", "n", "cells", "at.*")
     rows = found.where("p is not null").select("path", "page", "n", "p", "u", "q", F.posexplode("cells").alias("row", "cell")).where("row > 0")
     rows = rows.select(
         "path", "page", "n", "row", collapse(F.get("cell", F.col("p"))).alias("name"),

@@ -18,6 +18,21 @@ def plan(df):
     return re.split(r"== Initial Plan ==", full)[0]
 
 
+def test_white_space_is_that_of_unicode(spark):
+    rows = spark.range(1, 0x10000).where("id not between 55296 and 57343").select(F.col("id"), F.expr("decode(encode(decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32'), 'UTF-8'), 'UTF-8')").alias("c"))
+    rows = rows.select("id", F.concat(F.lit("a"), "c", "c", F.lit("b"), "c", F.lit(" "), F.lit("d"), "c").alias("x"))
+    slow = F.regexp_replace(F.regexp_replace("x", r"(?U)\s+", " "), r"(?U)^\s+|\s+$", "")
+    assert rows.where(text.collapse(F.col("x")) != slow).count() == 0
+    assert rows.where(text.collapse(F.col("x")) == "a b d").count() == len(text.SPACES)
+
+
+def test_header_cells_are_normalised_once_for_all_kinds(spark):
+    assert "regexp_replace" not in plan(__spark_entry__.queries()["header_detect"](spark, SF))
+    heads = spark.createDataFrame([(["Unit\n PRICE", None, "QTY", "unit"],), ([],), (None,)], "h array<string>")
+    found = heads.select(invoices.find_columns(F.col("h"), {"u": ["unit price"], "q": ["lot qty", "qty"], "n": ["name"]}).alias("f")).select("f.*").collect()
+    assert [tuple(r) for r in found] == [(0, 2, None), (None, None, None), (None, None, None)]
+
+
 def test_words_of_a_page_do_not_move(spark):
     moved = re.findall(r"Exchange hashpartitioning\((\w+)", plan(__spark_entry__.queries()["layout_tables"](spark, SF)))
     assert moved.count("path") == 1
