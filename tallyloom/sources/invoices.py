@@ -80,7 +80,8 @@ def text_rows(pages: DataFrame) -> DataFrame:
 def item_rows(tables: DataFrame, pages: DataFrame) -> DataFrame:
     """(path, page, n, row, name, quantity, unit_price): of a file's tables, or else of its text."""
     of_tables = table_rows(tables)
-    rest = text_rows(pages).join(of_tables.select("path").distinct(), "path", "left_anti")
+    # Pages go before their text is cut up: by path, as tables and pages that come from one grouping lie already.
+    rest = text_rows(pages.join(of_tables.select("path").distinct(), "path", "left_anti"))
     none = F.lit(None).cast("double")
     return of_tables.unionByName(rest.select("path", "page", F.lit(0).alias("n"), "row", "name", none.alias("quantity"), none.alias("unit_price")))
 

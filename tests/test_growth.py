@@ -36,3 +36,8 @@ def test_header_cells_are_normalised_once_for_all_kinds(spark):
 def test_words_of_a_page_do_not_move(spark):
     moved = re.findall(r"Exchange hashpartitioning\((\w+)", plan(__spark_entry__.queries()["layout_tables"](spark, SF)))
     assert moved.count("path") == 1
+
+
+def test_tables_and_text_of_a_file_meet_where_they_lie(spark):
+    moved = re.findall(r"Exchange hashpartitioning\((\w+)", plan(__spark_entry__.queries()["scan_fallback"](spark, SF)))
+    assert len(moved) == 3  # lines by file, for its rows, for whether it has any, and for its text
