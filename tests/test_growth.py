@@ -41,3 +41,13 @@ def test_words_of_a_page_do_not_move(spark):
 def test_tables_and_text_of_a_file_meet_where_they_lie(spark):
     moved = re.findall(r"Exchange hashpartitioning\((\w+)", plan(__spark_entry__.queries()["scan_fallback"](spark, SF)))
     assert len(moved) == 3  # lines by file, for its rows, for whether it has any, and for its text
+
+
+def test_features_of_a_catalog_in_one_file_are_found_by_all_tasks_once_a_name(spark):
+    from tallyloom.operators import lookups
+
+    rows = spark.range(400).select(F.col("id").alias("idx"), F.lit("c").alias("code"), F.when(F.col("id") % 20 > 0, F.concat(F.lit("name "), F.col("id") % 20)).alias("name"), F.lit(1.0).alias("price"))
+    found = lookups.catalog_features(rows.coalesce(1))
+    assert plan(found).count("REPARTITION_BY_NUM") >= 2
+    assert found.count() == 400 and found.where("name is null and search_key = ''").count() == 20
+    assert found.where("name = 'name 7' and numbers = array('7') and anchor = 'name'").count() == 20
