@@ -115,13 +115,16 @@ def resolve_party(headers: DataFrame, directory: DataFrame, config: MatchConfig
         at = F.instr("low", "to:")
         region = F.when(at > 0, F.substring("header", at, F.lit(REACH))).otherwise(F.col("header"))
         found = stage(told.select("header", F.regexp_extract(region, CODE, 0).alias("token")), "tokens")
-        near = top_k(found.where("token <> ''").select(F.col("token").alias("text")), codes.select(F.col("pos").alias("id"), F.col("code").alias("key")), 1)
+        # Only headers without a hit of the first tiers ask for near codes, and only codes that are near enough count.
+        hits = stage(first.select("header", "name", "tier").union(second.select("header", "name", "tier")), "hits")
+        rest = found.where("token <> ''").join(hits, "header", "left_anti")
+        near = top_k(rest.select(F.col("token").alias("text")), codes.select(F.col("pos").alias("id"), F.col("code").alias("key")), 1, config.party_ratio)
         near = near.where(F.col("score") >= config.party_ratio).join(codes.select(F.col("pos").alias("id"), "full"), "id")
         of_code = codes.groupBy("full").agg(F.max_by("name", "pos").alias("name"))
         near = near.join(of_code, "full").select(F.col("text").alias("token"), "name")
-        third = found.join(near, "token").select("header", "name", F.lit(3).alias("tier"))
+        third = rest.join(near, "token").select("header", "name", F.lit(3).alias("tier"))
 
-        hits = first.select("header", "name", "tier").union(second.select("header", "name", "tier")).union(third)
+        hits = hits.union(third)
         best = hits.groupBy("header").agg(F.min_by("name", "tier").alias("name"), F.min("tier").alias("tier"))
         out = texts.join(best, "header", "left").join(found, "header", "left")
         out = out.select(

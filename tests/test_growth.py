@@ -51,3 +51,13 @@ def test_features_of_a_catalog_in_one_file_are_found_by_all_tasks_once_a_name(sp
     assert plan(found).count("REPARTITION_BY_NUM") >= 2
     assert found.count() == 400 and found.where("name is null and search_key = ''").count() == 20
     assert found.where("name = 'name 7' and numbers = array('7') and anchor = 'name'").count() == 20
+
+
+def test_a_least_score_leaves_out_what_is_below_it_and_nothing_else(spark):
+    from tallyloom.operators.similar import top_k
+
+    keys = spark.range(900).select("id", F.concat(F.lit("PTY"), "id", F.lit("/Stock")).alias("key"))
+    texts = spark.range(0, 900, 7).select(F.explode(F.array(F.concat(F.lit("PTX"), "id", F.lit("/Stock")), F.concat(F.lit("Q/"), "id", F.lit("ZZZZZZZZ")))).alias("text"))
+    every = {tuple(r) for r in top_k(texts, keys, 2).collect()}
+    for least in (75.0, 90.0):
+        assert {tuple(r) for r in top_k(texts, keys, 2, least).collect()} == {r for r in every if r[2] >= least} != every
