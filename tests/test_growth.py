@@ -61,3 +61,20 @@ def test_a_least_score_leaves_out_what_is_below_it_and_nothing_else(spark):
     every = {tuple(r) for r in top_k(texts, keys, 2).collect()}
     for least in (75.0, 90.0):
         assert {tuple(r) for r in top_k(texts, keys, 2, least).collect()} == {r for r in every if r[2] >= least} != every
+
+
+def test_no_table_of_the_cascade_grows_with_lines_of_one_text(spark, monkeypatch):
+    from tallyloom.plans import cascade
+
+    held, stage = {}, cascade.stage
+    monkeypatch.setattr(cascade, "stage", lambda df, name: held.setdefault(name, stage(df, name)))
+    names = [(0, "A", "زانوفارم ايكسترا 24 أقراص", 30.0), (1, "B", "ليبونيل 20 مجم 28 قرص", 50.0)]
+    catalog = spark.createDataFrame(names, "idx long, code string, name string, price double")
+    dims = cascade.Dimensions(catalog, ignored=spark.createDataFrame([("ليبونيل 20 مجم 28 قرص",), ("Other",)], "item string"), controlled=spark.createDataFrame([("زانوفارم",)], "name string"))
+    texts = F.element_at(F.array(F.lit("ليبونيل 20 مجم 28 قرصص"), F.lit(" other "), F.lit("زانوفارم ايكسترا 24 أقراص"), F.lit(None)), (F.col("id") % 4 + 1).cast("int"))
+    lines = spark.range(800).select(texts.alias("text"), F.col("id").cast("double").alias("invoice_price"), F.lit(1.0).alias("quantity"))
+    found = cascade.match(lines, dims).groupBy("original_text", "suggested_arabic", "ignored", "controlled").count().collect()
+    assert {tuple(r) for r in found} == {
+        ("ليبونيل 20 مجم 28 قرصص", names[1][2], True, False, 200), (" other ", "", True, False, 200), (names[0][2], names[0][2], False, True, 200), (None, "", False, False, 200),
+    }
+    assert held and max(t.count() for t in held.values()) < 20
