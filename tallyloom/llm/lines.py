@@ -14,9 +14,10 @@ partition, never a text. Two bits of SKETCHED positions form a sketch that goes
 candidates that differ in more than FAR of them are dropped before any text is read (at similarity 0.8 a
 candidate does so with probability 2e-4). A bucket costs no pairs within a component: its lines are first linked to
 its smallest, then, where it still spans components, to a line of another one, and only what
-still spans is joined, across components, in large buckets under a bound that loses no pair: parities of the two shingle sets. Confirming reads only lines that pass a bitmap of at most
-2^BITMAP_BITS entries, which is broadcast. Buckets are aggregated before they move and joined back, so a
-large one is split.
+still spans is joined, across components. Parities of the two shingle sets, found once for each line of such a bucket, bound both of these
+steps without the loss of a pair, so what is confirmed follows the pairs that are near and not the square of a
+bucket's lines. Confirming reads only lines that pass a bitmap of at most 2^BITMAP_BITS entries, which is
+broadcast. Buckets are aggregated before they move and joined back, so a large one is split.
 
 Defined results: lines end at \\n. Blank lines are always kept. Rows of one id are one document if
 their texts are equal: repeated rows keep the same lines; rows of one id with different
@@ -44,7 +45,6 @@ POSITIONS = ROWS * ROWS
 SKETCHED = 32  # positions of which two bits are in a sketch
 FAR = 11  # of SKETCHED
 STARS = 4  # ends of its buckets that a line is linked to at once
-HOT_BUCKET = 400  # lines; parities of a line cost as much as confirming some pairs, so smaller buckets do without
 PASSES = 3  # over the bands, so that a third of them moves at a time
 UNROLLED = 4  # shingles hashed in one row
 ROTATIONS = [0, 21, 42]  # of a hash's bits, so that orders of few shingles differ, too
@@ -131,6 +131,14 @@ def _could_reach(left: str, right: str, percent: int) -> Column:
     return flipped * (100 + percent) <= (F.col(f"{left}.n") + F.col(f"{right}.n")) * (100 - percent)
 
 
+def _bounded(pairs: DataFrame, exact: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that could reach the similarity, by the parities of their lines."""
+    found = pairs
+    for end in ("a", "b"):
+        found = found.join(exact.select(F.col("key").alias(end), F.struct("n", *PARITY).alias(f"of_{end}")), end)
+    return found.where(_could_reach("of_a", "of_b", percent)).select("a", "b")
+
+
 def confirm(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets reach the similarity."""
     texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), lines)
@@ -150,11 +158,11 @@ def _shared(signed: DataFrame, names: list[str]) -> DataFrame:
     return bands.join(ends.where("lo < hi").drop("hi"), "band")
 
 
-def _across(member: DataFrame, bound: Column | None = None) -> DataFrame:
-    """Pairs (a, b) of a bucket's lines that are of different components, each in the first band that both share."""
+def _across(member: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a bucket's lines that are of different components and could reach the similarity, each in the first band that both share."""
     apart = F.expr("p.band = q.band and p.key < q.key and p.component <> q.component") & (_apart("p.sketch", "q.sketch") <= FAR)
     first = F.coalesce(*(F.when(F.col(f"p.{b}") == F.col(f"q.{b}"), F.col(f"p.{b}")) for b in NAMES))
-    found = member.alias("p").join(member.alias("q"), apart & (F.col("p.band") == first) & (F.lit(True) if bound is None else bound))
+    found = member.alias("p").join(member.alias("q"), apart & (F.col("p.band") == first) & _could_reach("p", "q", percent))
     return found.select(F.col("p.key").alias("a"), F.col("q.key").alias("b"))
 
 
@@ -175,10 +183,11 @@ def near_lines(lines: DataFrame, percent: int = 80) -> DataFrame:
         member = stage(spanning(named(hits, joined, "key"), "band", "key", "sketch"), "open")
         if member.isEmpty():
             return outlive(joined)
+        exact = stage(parities(member.select("key").distinct(), lines), "parities")
         ends = member.withColumn("end", F.struct(far_end("key", "key").alias("key"), far_end("key", "sketch").alias("sketch")))
         ends = ends.where(_apart("sketch", "end.sketch") <= FAR).groupBy("key").agg(F.slice(F.array_sort(F.collect_set("end.key")), 1, STARS).alias("ends"))
         ends = ends.select("key", F.explode("ends").alias("end")).select(F.least("key", "end").alias("a"), F.greatest("key", "end").alias("b"))
-        more = stage(ends.distinct().join(stars, ["a", "b"], "left_anti"), "stars")
+        more = stage(_bounded(ends.distinct().join(stars, ["a", "b"], "left_anti"), exact, percent), "stars")
         links = stage(links.union(confirm(more, lines, percent)), "links")
         joined = components(links)
 
@@ -186,13 +195,8 @@ def near_lines(lines: DataFrame, percent: int = 80) -> DataFrame:
         member = stage(member, "open")
         if member.isEmpty():
             return outlive(joined)
-        member = stage(member.join(signed.drop("sketch"), "key"), "open")
-        across = _across(member.where(F.col("size") <= HOT_BUCKET))
-        hot = member.where(F.col("size") > HOT_BUCKET)
-        if not hot.isEmpty():
-            exact = parities(hot.select("key").distinct(), lines)
-            across = across.union(_across(stage(hot.join(exact, "key"), "hot"), _could_reach("p", "q", percent))).distinct()
-        across = stage(across.join(stars.union(more), ["a", "b"], "left_anti"), "across")
+        member = stage(member.join(signed.drop("sketch"), "key").join(exact, "key"), "open")
+        across = stage(_across(member, percent).join(stars.union(more), ["a", "b"], "left_anti"), "across")
         if across.isEmpty():
             return outlive(joined)
         return outlive(components(links.union(stage(confirm(across, lines, percent), "links"))))

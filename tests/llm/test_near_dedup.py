@@ -214,3 +214,18 @@ def test_no_python_in_line_dedup(spark):
     frame = spark.createDataFrame([(1, "a b"), (2, "a b")], "doc_id long, text string")
     plans = [lines.repeats(frame), lines.signatures(lines.occurrences(frame)), lines.confirm(frame.selectExpr("doc_id a", "doc_id b"), lines.occurrences(frame), 80)]
     assert not any(re.search("Python|Arrow|Pandas", p._jdf.queryExecution().executedPlan().toString()) for p in plans)
+
+
+def test_lines_far_below_the_threshold_are_not_read_to_be_confirmed(spark, monkeypatch):
+    rng = random.Random(4)
+    asked, confirm = [], lines.confirm
+    monkeypatch.setattr(lines, "confirm", lambda pairs, *more: asked.append(pairs.count()) or confirm(pairs, *more))
+    monkeypatch.setattr(lines, "FAR", lines.SKETCHED)
+    # Every line in one bucket of each band, so that only parities tell lines apart.
+    monkeypatch.setattr(lines, "band_positions", lambda band: [])
+    base = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=200))
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=200)) for _ in range(60)] + [base, base + "!", base + "!?", base[1:]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc: r.first_doc for r in lines.repeats(frame).collect()}
+    assert got == {i: min(i, 60) for i in range(64)}
+    assert sum(asked[1:]) <= 3 * 3 + 3  # of 1,800 pairs across components only those of the four near lines
