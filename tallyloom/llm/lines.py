@@ -14,8 +14,8 @@ partition, never a text. Two bits of SKETCHED positions form a sketch that goes
 candidates that differ in more than FAR of them are dropped before any text is read (at similarity 0.8 a
 candidate does so with probability 2e-4). A bucket costs no pairs within a component: its lines are first linked to
 its smallest, then, where it still spans components, to a line of another one, and only what
-still spans is joined, across components. Parities of the two shingle sets, found once for each line of such a bucket, bound both of these
-steps without the loss of a pair, so what is confirmed follows the pairs that are near and not the square of a
+still spans is joined, across components. Parities of the two shingle sets, found once for each line that any other may be near
+by its sketch, bound both of these steps without the loss of a pair, so what is confirmed follows the pairs that are near and not the square of a
 bucket's lines. Confirming reads only lines that pass a bitmap of at most 2^BITMAP_BITS entries, which is
 broadcast. Buckets are aggregated before they move and joined back, so a large one is split.
 
@@ -158,6 +158,12 @@ def _shared(signed: DataFrame, names: list[str]) -> DataFrame:
     return bands.join(ends.where("lo < hi").drop("hi"), "band")
 
 
+def _met(member: DataFrame) -> DataFrame:
+    """(key) of the lines that share a bucket with a line of another component whose sketch is near."""
+    near = F.expr("p.band = q.band and p.component <> q.component") & (_apart("p.sketch", "q.sketch") <= FAR)
+    return member.alias("p").join(member.alias("q"), near, "left_semi").select("key").distinct()
+
+
 def _across(member: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of a bucket's lines that are of different components and could reach the similarity, each in the first band that both share."""
     apart = F.expr("p.band = q.band and p.key < q.key and p.component <> q.component") & (_apart("p.sketch", "q.sketch") <= FAR)
@@ -183,11 +189,12 @@ def near_lines(lines: DataFrame, percent: int = 80) -> DataFrame:
         member = stage(spanning(named(hits, joined, "key"), "band", "key", "sketch"), "open")
         if member.isEmpty():
             return outlive(joined)
-        exact = stage(parities(member.select("key").distinct(), lines), "parities")
         ends = member.withColumn("end", F.struct(far_end("key", "key").alias("key"), far_end("key", "sketch").alias("sketch")))
         ends = ends.where(_apart("sketch", "end.sketch") <= FAR).groupBy("key").agg(F.slice(F.array_sort(F.collect_set("end.key")), 1, STARS).alias("ends"))
         ends = ends.select("key", F.explode("ends").alias("end")).select(F.least("key", "end").alias("a"), F.greatest("key", "end").alias("b"))
-        more = stage(_bounded(ends.distinct().join(stars, ["a", "b"], "left_anti"), exact, percent), "stars")
+        more = stage(ends.distinct().join(stars, ["a", "b"], "left_anti"), "stars")
+        exact = stage(parities(more.select(F.explode(F.array("a", "b")).alias("key")).distinct(), lines), "parities")
+        more = stage(_bounded(more, exact, percent), "stars")
         links = stage(links.union(confirm(more, lines, percent)), "links")
         joined = components(links)
 
@@ -195,6 +202,8 @@ def near_lines(lines: DataFrame, percent: int = 80) -> DataFrame:
         member = stage(member, "open")
         if member.isEmpty():
             return outlive(joined)
+        met = stage(_met(member).join(exact, "key", "left_anti"), "met")
+        exact = exact.union(stage(parities(met, lines), "parities"))
         member = stage(member.join(signed.drop("sketch"), "key").join(exact, "key"), "open")
         across = stage(_across(member, percent).join(stars.union(more), ["a", "b"], "left_anti"), "across")
         if across.isEmpty():
