@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import outlive, stage, staging
 
+SMALL = 1 << 16  # edges; the choices of so few (two nodes an edge at most) are broadcast
+
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b: long) to (node, component), component being the smallest node reachable.
@@ -19,24 +21,27 @@ def components(edges: DataFrame) -> DataFrame:
     At last the choices are followed back, and each class takes its smallest node.
 
     Choices are minima that are combined before they move, and joins have a unique key on one
-    side, so Spark may split a hub's rows; no list of neighbours is ever held. Nodes without an
+    side, so Spark may split a hub's rows; no list of neighbours is ever held. Most rounds are of few edges: once at most
+    SMALL are left, their choices are broadcast, so a round takes two exchanges and not six. Nodes without an
     edge to another are not returned. The result is a staged table.
     """
     with staging(edges.sparkSession):
         graph = stage(_edges(edges.select("a", "b")), "graph")
         choices: list[DataFrame] = []
-        while not graph.isEmpty():
+        sent: list[DataFrame] = []  # the choices again, marked to be broadcast where they are few
+        while n := graph.count():
             choices.append(stage(_nearest(graph, len(choices)), "choices"))
-            one = choices[-1].select(F.col("node").alias("a"), F.col("to").alias("x"))
-            two = choices[-1].select(F.col("node").alias("b"), F.col("to").alias("y"))
+            sent.append(F.broadcast(choices[-1]) if n <= SMALL else choices[-1])
+            one = sent[-1].select(F.col("node").alias("a"), F.col("to").alias("x"))
+            two = sent[-1].select(F.col("node").alias("b"), F.col("to").alias("y"))
             moved = graph.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
             graph = stage(_edges(moved), "graph")
         if not choices:
             return outlive(stage(graph.select(F.col("a").alias("node"), F.col("b").alias("component")), "components"))
-        classes = choices[-1].withColumnRenamed("to", "class")
-        for choice in reversed(choices[:-1]):
-            further = classes.select(F.col("node").alias("to"), F.col("class").alias("further"))
-            classes = choice.join(further, "to", "left").select("node", F.coalesce("further", "to").alias("class"))
+        classes = choices[0].withColumnRenamed("to", "class")
+        for later in sent[1:]:
+            further = later.select(F.col("node").alias("class"), F.col("to").alias("further"))
+            classes = classes.join(further, "class", "left").select("node", F.coalesce("further", "class").alias("class"))
         if len(choices) == 1:  # by id: a class is named by its smallest node
             return outlive(stage(classes.withColumnRenamed("class", "component"), "components"))
         classes = stage(classes, "classes")

@@ -229,3 +229,16 @@ def test_lines_far_below_the_threshold_are_not_read_to_be_confirmed(spark, monke
     got = {r.doc: r.first_doc for r in lines.repeats(frame).collect()}
     assert got == {i: min(i, 60) for i in range(64)}
     assert sum(asked[1:]) <= 3 * 3 + 3  # of 1,800 pairs across components only those of the four near lines
+
+
+def test_rounds_of_few_edges_take_one_exchange_and_one_for_their_choices(spark, monkeypatch):
+    plans, stage = [], module.stage
+    monkeypatch.setattr(module, "stage", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or stage(df, name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.node: r.component for r in components(spark.createDataFrame([(i, i + 1) for i in range(0, 80)], "a long, b long")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {i: 0 for i in range(81)}
+    moves = [plan.count("Exchange hashpartitioning") for name, plan in plans if name in ("graph", "choices")]
+    assert len(moves) > 5 and set(moves) == {1}
