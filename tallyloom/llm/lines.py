@@ -46,7 +46,7 @@ SKETCHED = 32  # positions of which two bits are in a sketch
 FAR = 11  # of SKETCHED
 STARS = 4  # ends of its buckets that a line is linked to at once
 PASSES = 3  # over the bands, so that a third of them moves at a time
-UNROLLED = 4  # shingles hashed in one row
+UNROLLED = 16  # shingles hashed in one row
 ROTATIONS = [0, 21, 42]  # of a hash's bits, so that orders of few shingles differ, too
 BITMAP_BITS = 20
 MINIMA = [f"m{j}" for j in range(POSITIONS)]
@@ -100,8 +100,13 @@ def _apart(left: str, right: str) -> Column:
     return F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555)))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(key) of the lines in pairs (a, b)."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+
+
 def _texts(keys: DataFrame, lines: DataFrame) -> DataFrame:
-    """(key, line) of some distinct keys."""
+    """(key, line) of some distinct keys. A staged table."""
     needed = stage(keys, "needed")
     bit = F.col("key").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1).cast("long"))
     bitmap = F.broadcast(needed.select(bit.alias("bit")).distinct())
@@ -110,14 +115,15 @@ def _texts(keys: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def _codes(u: str) -> str:
-    """The distinct hashes of the shingles of ``u``, a lambda variable or a field of one: so it is bound once."""
+    """The hashes of the shingles of ``u``, a lambda variable or a field of one: so it is bound once. They are made distinct outside the lambda, in compiled code."""
     width = 4 * SHINGLE
-    return f"array_distinct(transform(sequence(1, greatest(length({u}) - {width - 1}, 1), 4), i -> xxhash64(substring({u}, i, {width}))))"
+    return f"transform(sequence(1, greatest(length({u}) - {width - 1}, 1), 4), i -> xxhash64(substring({u}, i, {width})))"
 
 
-def parities(keys: DataFrame, lines: DataFrame) -> DataFrame:
-    """(key, n, p0 to p15) of some distinct keys: the size of a line's shingle set, and which bits its shingles flip an odd number of times."""
-    codes = _texts(keys, lines).select("key", F.expr(f"transform(array(encode(lower(line), 'UTF-32')), u -> {_codes('u')})[0]").alias("codes"))
+def parities(texts: DataFrame) -> DataFrame:
+    """(key, n, p0 to p15) of distinct lines (key, line): the size of a line's shingle set, and which bits its shingles flip an odd number of times."""
+    codes = texts.select("key", F.expr(f"transform(array(encode(lower(line), 'UTF-32')), u -> {_codes('u')})[0]").alias("codes"))
+    codes = codes.select("key", F.array_distinct("codes").alias("codes"))
     each = codes.select("key", F.size("codes").alias("n"), F.explode("codes").alias("h"))
     flips = [F.expr(f"bit_xor(if((shiftrightunsigned(h, 6) & {len(PARITY) - 1}) = {k}, shiftleft(1L, cast(h & 63 as int)), 0L)) as {p}") for k, p in enumerate(PARITY)]
     return each.groupBy("key").agg(F.max("n").alias("n"), *flips)
@@ -139,15 +145,15 @@ def _bounded(pairs: DataFrame, exact: DataFrame, percent: int) -> DataFrame:
     return found.where(_could_reach("of_a", "of_b", percent)).select("a", "b")
 
 
-def confirm(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach the similarity."""
-    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), lines)
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets reach the similarity. ``texts`` (key, line) holds their lines, each once."""
     # What moves is the text, which is smaller than the codes of its shingles.
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("x")), "a")
     both = both.join(texts.select(F.col("key").alias("b"), F.col("line").alias("y")), "b")
     both = both.select("a", "b", F.struct(_characters("x").alias("x"), _characters("y").alias("y")).alias("p"))
     both = both.select("a", "b", F.expr(f"transform(array(p), p -> struct({_codes('p.x')} as x, {_codes('p.y')} as y))[0]").alias("p"))
-    shared = both.select("a", "b", (F.size("p.x") + F.size("p.y")).alias("sizes"), F.size(F.array_intersect("p.x", "p.y")).alias("shared"))
+    sizes = F.size(F.array_distinct("p.x")) + F.size(F.array_distinct("p.y"))
+    shared = both.select("a", "b", sizes.alias("sizes"), F.size(F.array_intersect("p.x", "p.y")).alias("shared"))
     return shared.where((100 + percent) * F.col("shared") >= percent * F.col("sizes")).select("a", "b")
 
 
@@ -182,33 +188,30 @@ def near_lines(lines: DataFrame, percent: int = 80) -> DataFrame:
         stars = hits.where("key <> lo").where(_apart("sketch", "lo_sketch") <= FAR).groupBy("key")
         stars = stars.agg(F.slice(F.array_sort(F.collect_set("lo")), 1, STARS).alias("ends"))
         stars = stage(stars.select(F.explode("ends").alias("a"), F.col("key").alias("b")), "stars")
-        links = stage(confirm(stars, lines, percent), "links")
+        links = stage(confirm(stars, _texts(_ends(stars), lines), percent), "links")
         joined = components(links)
 
         hits = hits.select("band", "key", "sketch")
         member = stage(spanning(named(hits, joined, "key"), "band", "key", "sketch"), "open")
         if member.isEmpty():
             return outlive(joined)
+        # Every pair that is still to be confirmed, with an end or across components, is of these lines.
+        texts = _texts(_met(member), lines)
+        exact = stage(parities(texts), "parities")
         ends = member.withColumn("end", F.struct(far_end("key", "key").alias("key"), far_end("key", "sketch").alias("sketch")))
         ends = ends.where(_apart("sketch", "end.sketch") <= FAR).groupBy("key").agg(F.slice(F.array_sort(F.collect_set("end.key")), 1, STARS).alias("ends"))
         ends = ends.select("key", F.explode("ends").alias("end")).select(F.least("key", "end").alias("a"), F.greatest("key", "end").alias("b"))
-        more = stage(ends.distinct().join(stars, ["a", "b"], "left_anti"), "stars")
-        exact = stage(parities(more.select(F.explode(F.array("a", "b")).alias("key")).distinct(), lines), "parities")
+        more = ends.distinct().join(stars, ["a", "b"], "left_anti")
         more = stage(_bounded(more, exact, percent), "stars")
-        links = stage(links.union(confirm(more, lines, percent)), "links")
+        links = stage(links.union(confirm(more, texts, percent)), "links")
         joined = components(links)
 
         member = spanning(named(member.select("band", "key", "sketch"), joined, "key"), "band", "key").drop("lo", "hi")
-        member = stage(member, "open")
-        if member.isEmpty():
-            return outlive(joined)
-        met = stage(_met(member).join(exact, "key", "left_anti"), "met")
-        exact = exact.union(stage(parities(met, lines), "parities"))
         member = stage(member.join(signed.drop("sketch"), "key").join(exact, "key"), "open")
         across = stage(_across(member, percent).join(stars.union(more), ["a", "b"], "left_anti"), "across")
         if across.isEmpty():
             return outlive(joined)
-        return outlive(components(links.union(stage(confirm(across, lines, percent), "links"))))
+        return outlive(components(links.union(stage(confirm(across, texts, percent), "links"))))
 
 
 def repeats(docs: DataFrame, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -242,3 +242,15 @@ def test_rounds_of_few_edges_take_one_exchange_and_one_for_their_choices(spark,
     assert got == {i: 0 for i in range(81)}
     moves = [plan.count("Exchange hashpartitioning") for name, plan in plans if name in ("graph", "choices")]
     assert len(moves) > 5 and set(moves) == {1}
+
+
+def test_texts_of_open_buckets_are_read_once(spark, monkeypatch):
+    asked, texts = [], lines._texts
+    monkeypatch.setattr(lines, "_texts", lambda keys, *more: asked.append(keys) or texts(keys, *more))
+    monkeypatch.setattr(lines, "FAR", lines.SKETCHED)
+    monkeypatch.setattr(lines, "band_positions", lambda band: [])  # one bucket, which spans components to the end
+    base = "".join(random.Random(6).choices("abcdefghijklmnopqrstuvwxyz ", k=200))
+    rest = ["".join(random.Random(k).choices("abcdefghijklmnopqrstuvwxyz ", k=200)) for k in range(7, 12)]
+    frame = spark.createDataFrame(list(enumerate([*rest, base, base + "!", base[1:]])), "doc_id long, text string")
+    assert {r.doc: r.first_doc for r in lines.repeats(frame).collect()} == {i: min(i, 5) for i in range(8)}
+    assert len(asked) == 2  # for the stars, and once for all that is still to be bounded or confirmed
