@@ -68,12 +68,12 @@ def named(rows: DataFrame, joined: DataFrame, node: str) -> DataFrame:
     return found.withColumn("component", F.coalesce("component", node))
 
 
-def spanning(rows: DataFrame, bucket: str, node: str, *carried: str) -> DataFrame:
+def spanning(rows: DataFrame, bucket: str, node: str, *carried: str, hint: str | None = None) -> DataFrame:
     """Rows of the buckets that hold more than one ``component``, with the ends ``lo`` and ``hi`` of each bucket.
 
     An end is a struct of a node, its component and the columns ``carried``: the first of the
     smallest and of the largest component. Buckets are aggregated before they move and joined back, so one that holds
-    a large part of all rows is split.
+    a large part of all rows is split. ``hint`` is how the aggregated side (one row a bucket) is joined.
     """
     fields = [node, "component", *carried]
     ends = [F.min(F.col("component")).alias("__lo"), F.max(F.col("component")).alias("__hi"), F.count("*").alias("size")]
@@ -81,7 +81,8 @@ def spanning(rows: DataFrame, bucket: str, node: str, *carried: str) -> DataFram
         ends += [pick(F.col(f), F.col("component")).alias(f"__{name}_{f}") for f in fields]
     found = rows.groupBy(bucket).agg(*ends).where("__lo < __hi")
     as_struct = lambda name: F.struct(*(F.col(f"__{name}_{f}").alias(f) for f in fields)).alias(name)
-    return rows.join(found.select(bucket, "size", as_struct("lo"), as_struct("hi")), bucket)
+    ends = found.select(bucket, "size", as_struct("lo"), as_struct("hi"))
+    return rows.join(ends.hint(hint) if hint else ends, bucket)
 
 
 def far_end(node: str, field: str) -> Column:

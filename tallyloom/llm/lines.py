@@ -49,6 +49,7 @@ PASSES = 3  # over the bands, so that a third of them moves at a time
 UNROLLED = 16  # shingles hashed in one row
 ROTATIONS = [0, 21, 42]  # of a hash's bits, so that orders of few shingles differ, too
 BITMAP_BITS = 20
+HASHED = "shuffle_hash"  # for the side of a join that has one row a key and is the smaller: the other is not sorted
 MINIMA = [f"m{j}" for j in range(POSITIONS)]
 NAMES = [f"b{b}" for b in range(BANDS)]
 PARITY = [f"p{k}" for k in range(16)]  # of 64 bits each
@@ -110,7 +111,7 @@ def _texts(keys: DataFrame, lines: DataFrame) -> DataFrame:
     needed = stage(keys, "needed")
     bit = F.col("key").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1).cast("long"))
     bitmap = F.broadcast(needed.select(bit.alias("bit")).distinct())
-    near = lines.select("key", "line").join(bitmap, bit == F.col("bit"), "left_semi").join(needed, "key", "left_semi")
+    near = lines.select("key", "line").join(bitmap, bit == F.col("bit"), "left_semi").join(needed.hint(HASHED), "key", "left_semi")
     return stage(near.groupBy("key").agg(F.first("line").alias("line")), "texts")
 
 
@@ -161,7 +162,7 @@ def _shared(signed: DataFrame, names: list[str]) -> DataFrame:
     """(band, key, sketch, lo, lo_sketch): the lines of each bucket of some bands that holds several, and its smallest."""
     bands = signed.select("key", "sketch", F.explode(F.array(*names)).alias("band"))
     ends = bands.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.min_by("sketch", "key").alias("lo_sketch"))
-    return bands.join(ends.where("lo < hi").drop("hi"), "band")
+    return bands.join(ends.where("lo < hi").drop("hi").hint(HASHED), "band")
 
 
 def _met(member: DataFrame) -> DataFrame:
@@ -192,7 +193,7 @@ def near_lines(lines: DataFrame, percent: int = 80) -> DataFrame:
         joined = components(links)
 
         hits = hits.select("band", "key", "sketch")
-        member = stage(spanning(named(hits, joined, "key"), "band", "key", "sketch"), "open")
+        member = stage(spanning(named(hits, joined.hint(HASHED), "key"), "band", "key", "sketch", hint=HASHED), "open")
         if member.isEmpty():
             return outlive(joined)
         # Every pair that is still to be confirmed, with an end or across components, is of these lines.
@@ -206,8 +207,10 @@ def near_lines(lines: DataFrame, percent: int = 80) -> DataFrame:
         links = stage(links.union(confirm(more, texts, percent)), "links")
         joined = components(links)
 
-        member = spanning(named(member.select("band", "key", "sketch"), joined, "key"), "band", "key").drop("lo", "hi")
-        member = stage(member.join(signed.drop("sketch"), "key").join(exact, "key"), "open")
+        member = spanning(named(member.select("band", "key", "sketch"), joined.hint(HASHED), "key"), "band", "key", hint=HASHED).drop("lo", "hi")
+        # Few of all signatures are of lines that were bounded, so they meet first.
+        bounded = signed.drop("sketch").join(exact.hint(HASHED), "key")
+        member = stage(member.join(bounded.hint(HASHED), "key"), "open")
         across = stage(_across(member, percent).join(stars.union(more), ["a", "b"], "left_anti"), "across")
         if across.isEmpty():
             return outlive(joined)

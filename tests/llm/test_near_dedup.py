@@ -231,6 +231,17 @@ def test_lines_far_below_the_threshold_are_not_read_to_be_confirmed(spark, monke
     assert sum(asked[1:]) <= 3 * 3 + 3  # of 1,800 pairs across components only those of the four near lines
 
 
+def test_lines_of_buckets_are_not_sorted_to_meet_their_ends(spark):
+    docs = spark.createDataFrame([(i, f"some line of text with the number {i}") for i in range(20)], "doc_id long, text string")
+    signed = lines.signatures(lines.occurrences(docs)).localCheckpoint()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lines._shared(signed, lines.NAMES[:6])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "BuildRight" in plan
+
+
 def test_rounds_of_few_edges_take_one_exchange_and_one_for_their_choices(spark, monkeypatch):
     plans, stage = [], module.stage
     monkeypatch.setattr(module, "stage", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or stage(df, name))
