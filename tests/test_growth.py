@@ -38,6 +38,11 @@ def test_words_of_a_page_do_not_move(spark):
     assert moved.count("path") == 1
 
 
+def test_words_of_a_page_are_laid_out_at_once(spark):
+    made = plan(__spark_entry__.queries()["layout_tables"](spark, SF))
+    assert len(re.findall(r"\bWindow \[", made)) == 1 and made.count("ObjectHashAggregate(") == 2  # an order's lines are numbered and gathered
+
+
 def test_tables_and_text_of_a_file_meet_where_they_lie(spark):
     moved = re.findall(r"Exchange hashpartitioning\((\w+)", plan(__spark_entry__.queries()["scan_fallback"](spark, SF)))
     assert len(moved) == 3  # lines by file, for its rows, for whether it has any, and for its text

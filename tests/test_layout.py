@@ -53,6 +53,27 @@ def test_odd_words(spark):
     assert {(r.path, r.page, r.n, len(r.cells[0][0])) for r in layout.tables(extra).collect()} == {("a", 0, 0, 100_000), (None, None, 0, 1)}
 
 
+def test_texts_are_cleaned_before_they_are_ordered(spark):
+    places = [word("x", 10, 10)[3:]] * 5
+    texts = [" b", "a\xa0\u2003 c ", "\tab", "\u3000", "é"]
+    words = frame(spark, [("a", 0, t, *at) for t, at in zip(texts, places)] + [word("z", 10, 10, "b")])
+    assert {r.path: r.text for r in layout.page_text(words).collect()} == {"a": "a c ab b é", "b": "z"}
+    assert {r.path: r.cells for r in layout.tables(words).collect()} == {"a": [["a c ab b é"]], "b": [["z"]]}
+
+
+def test_pages_of_many_batches(spark):
+    """Pages of any length, in batches of any number, as one batch of all lays them out."""
+    random.seed(9)
+    words = [word(random.choice("ab") * random.randint(1, 3), random.randint(0, 40) * 5, random.randint(0, 30) * 4, f"p{p}", high=random.choice([8.0, 10.0])) for p in range(40) for _ in range(p * p % 70)]
+    size, found = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(size)
+    for rows in ("1", "3", "10000"):
+        spark.conf.set(size, rows)
+        found.append(sorted(map(repr, layout.tables(frame(spark, words).repartition(3)).collect())))
+    spark.conf.set(size, before)
+    assert found[0] == found[1] == found[2] and len(found[0]) > 39
+
+
 def test_a_grid_of_many_pages(spark):
     """Every cell of 60 pages of different shapes comes back, and the words move once."""
     random.seed(5)
