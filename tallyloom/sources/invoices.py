@@ -66,7 +66,7 @@ def table_rows(tables: DataFrame) -> DataFrame:
         "path", "page", "n", "row", collapse(F.get("cell", F.col("p"))).alias("name"),
         parse_number(F.get("cell", F.col("q"))).alias("quantity"), parse_number(F.get("cell", F.col("u"))).alias("unit_price"),
     )
-    return footer_filter(rows.where("name <> ''"))
+    return rows.where("name <> ''").where(~F.lower("name").isin(FOOTER_NAMES))  # collapsed, so nothing to strip
 
 
 def text_rows(pages: DataFrame) -> DataFrame:

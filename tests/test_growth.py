@@ -26,6 +26,12 @@ def test_white_space_is_that_of_unicode(spark):
     assert rows.where(text.collapse(F.col("x")) == "a b d").count() == len(text.SPACES)
 
 
+def test_ends_are_not_searched_for_each_white_space_where_none_can_be(spark):
+    cells = spark.createDataFrame([("\u3000\x85a\t ",), ("\xa0-1,200.5 \u2003",), (" \n",), (None,)], "c string").select(text.collapse(F.col("c")).alias("c"), text.parse_number(F.col("c")).alias("n"))
+    assert [tuple(r) for r in cells.collect()] == [("a", None), ("-1,200.5", -1200.5), ("", None), (None, None)]
+    assert "\u3000)" not in plan(cells) and "Some(" not in plan(cells)
+
+
 def test_header_cells_are_normalised_once_for_all_kinds(spark):
     assert "regexp_replace" not in plan(__spark_entry__.queries()["header_detect"](spark, SF))
     heads = spark.createDataFrame([(["Unit\n PRICE", None, "QTY", "unit"],), ([],), (None,)], "h array<string>")
